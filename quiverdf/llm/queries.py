@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import imatch, language_id, pii, toxicity
 from .common import crc_of, table
 from .exact_dedup import exact_groups
 from .mixing import mix
 from .packing import pack
 from .simhash_dedup import near_groups
+from .substring_dedup import remove_repeats
 from .warc import archive
 
 
@@ -34,10 +35,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language_id.learn(docs, crc_of("doc_id") % 4 != 2, "doc_id", "text", "lang")
@@ -52,7 +61,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mixing, op5_warc, op7_language, op8_exact_dedup, op9_simhash)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_mixing, op4_imatch, op5_warc, op6_pii, op7_language, op8_exact_dedup, op9_simhash, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": """
