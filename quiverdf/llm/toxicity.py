@@ -329,3 +329,18 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, score double")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, network: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text scores below the threshold."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        scorer = Scorer(network)
+        for batch in batches:
+            found = scorer.score(batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array(found < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
