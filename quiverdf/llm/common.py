@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -19,6 +20,14 @@ def by_value(module: str) -> None:
 by_value(__name__)
 
 
+def kept_by_worker(key: str, make):
+    """make()'s value, which a Python worker keeps for its later tasks; functions shipped by value have no module to keep it in."""
+    store = sys.modules.setdefault("quiverdf_worker_store", types.ModuleType("quiverdf_worker_store"))
+    if getattr(store, "key", None) != key:
+        store.key, store.value = key, make()
+    return store.value
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,23 +56,21 @@ class Workspace:
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="quiverdf-")
         self.root = f"{base.rstrip('/')}/quiverdf-{uuid.uuid4().hex}"
-        path = self._path("")
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.mkdirs(path)
         self.fs.deleteOnExit(path)
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        self.paths: dict[str, str] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a table of its own and read it back."""
-        path = f"{self.root}/{name}"
+        self.paths[name] = path = f"{self.root}/{len(self.paths)}-{name}-{uuid.uuid4().hex[:8]}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
-            self.fs.delete(self._path(name), True)
+            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[name]), True)
 
 
 def crc_of(id_col: str):
