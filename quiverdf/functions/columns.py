@@ -383,16 +383,16 @@ class Compiler:
         arcs = self.scope.synthetic
         if arcs is None:
             raise ExpressionError("synarc functions need collapsed arcs")
-        name = lambda n: n[1].split(".", 1)[-1] if n[0] == "name" else n[1]
+        name = lambda n: n[1].removeprefix("rel.")
         mod = lambda n: name(n)
         pick = lambda test: F.filter(F.col(arcs), test)
         if what == "hasrel":
-            return flag(F.lit(True) if not nodes else self.all_of([F.size(pick(lambda a, r=name(n): a["rel"] == r)) > 0 for n in nodes]))
+            return flag(F.lit(True) if not nodes else self.all_of([F.size(pick(self.has("rel", name(n)))) > 0 for n in nodes]))
         if what == "hasmod":
-            return flag(self.all_of([F.size(pick(lambda a, m=mod(n): a["mod"] == m)) > 0 for n in nodes]))
+            return flag(self.all_of([F.size(pick(self.has("mod", mod(n)))) > 0 for n in nodes]))
         if what == "hasrelmod":
             pairs = list(zip(nodes[::2], nodes[1::2], strict=True))
-            return flag(self.all_of([F.size(pick(lambda a, r=name(r), m=mod(m): (a["rel"] == r) & (a["mod"] == m))) > 0 for r, m in pairs]))
+            return flag(self.all_of([F.size(self.of_kind(arcs, name(r), mod(m))) > 0 for r, m in pairs]))
         if what == "value":
             r, m = name(nodes[0]), mod(nodes[1])
             found = pick(lambda a: (a["rel"] == r) & (a["mod"] == m))
@@ -400,7 +400,7 @@ class Compiler:
         if what in ("decay", "xdecay"):
             r = name(nodes[0])
             value = F.element_at(F.filter(F.col(arcs), lambda a: (a["rel"] == r) & ~a["mod"].isin("M_TMC", "M_TMM", "M_TMX")), 1)["value"]
-            times = {m: F.try_element_at(F.filter(F.col(arcs), lambda a, m=m: (a["rel"] == r) & (a["mod"] == m)), F.lit(1))["value"] for m in ("M_TMC", "M_TMM", "M_TMX")}
+            times = {m: F.try_element_at(self.of_kind(arcs, r, m), F.lit(1))["value"] for m in ("M_TMC", "M_TMM", "M_TMX")}
             begun, ends, now = F.coalesce(times["M_TMM"], times["M_TMC"]), times["M_TMX"], F.lit(float(self.scope.now))
             rate = self.compile(nodes[1]).number().real() if len(nodes) > 1 else F.lit(1.0) / F.when(ends > begun, ends - begun)
             age = now - begun
@@ -409,6 +409,14 @@ class Compiler:
             return Typed(value * F.exp(-rate * math.log(1e4) * age), REAL)
         raise ExpressionError(f"unknown synarc.{what}")
 
+    @staticmethod
+    def has(field_: str, value: str):
+        return lambda a: a[field_] == value
+
+    @staticmethod
+    def of_kind(arcs: str, rel: str, mod: str) -> Column:
+        return F.filter(F.col(arcs), lambda a: (a["rel"] == rel) & (a["mod"] == mod))
+
     @staticmethod
     def all_of(tests: list[Column]) -> Column:
         out = F.lit(True)

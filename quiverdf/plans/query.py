@@ -146,7 +146,7 @@ class Planner:
 
     def nested(self, rows: DataFrame, hop: Hop) -> tuple[DataFrame, list[DataFrame]]:
         paths = rows.select("anchor", F.col("next").alias("prev"), F.col("arc").alias("prev_arc"))
-        return self.step(paths.distinct() if hop.semi else paths, hop)
+        return self.step(paths, hop)
 
     @staticmethod
     def same_path() -> Column:

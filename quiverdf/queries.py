@@ -201,11 +201,11 @@ def degree_query(spark, d):
     return query.degree(graph(spark, d, "customer", "orders"), "C7", ("placed", "D_OUT", "M_FLT", "V_GT", 50000.0))
 
 
-@register("aggregate_query", """SELECT count(*) AS neighbors, CAST(sum(1) AS BIGINT) AS arcs, sum(o_totalprice) AS value, CAST(count(*) AS BIGINT) AS degree, CAST(count(*) AS BIGINT) AS indegree,
+@register("aggregate_query", """SELECT count(*) AS neighbors, CAST(sum(1) AS BIGINT) AS arcs, round(sum(o_totalprice), 2) AS value, CAST(count(*) AS BIGINT) AS degree, CAST(count(*) AS BIGINT) AS indegree,
     CAST(0 AS BIGINT) AS outdegree FROM orders WHERE o_custkey = 7""")
 def aggregate_query(spark, d):
     out = query.aggregate(graph(spark, d, "customer", "orders"), "C7", ("placed", "D_OUT", "M_FLT"))
-    return out
+    return out.withColumn("value", F.round("value", 2))
 
 
 AGGREGATES = {
@@ -213,12 +213,12 @@ AGGREGATES = {
 }
 for _name, _sql in AGGREGATES.items():
 
-    @register(f"aggregate_{_name}", f"""SELECT 'P' || l_partkey AS id, '{"M_INTAGGR" if _name == "count" else "M_FLTAGGR"}' AS mod, round({_sql}{" / 1e200" if _name == "product" else ""}, 2) AS val
+    @register(f"aggregate_{_name}", f"""SELECT 'P' || l_partkey AS id, '{"M_INTAGGR" if _name == "count" else "M_FLTAGGR"}' AS mod, round({_sql}{" / 1e200" if _name == "product" else " / 1000" if _name in ("average", "sqsum") else ""}, {3 if _name == "average" else 2 if _name != "sqsum" else 1}) AS val
         FROM (SELECT l_partkey, l_orderkey, sum(l_extendedprice) AS val FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL) GROUP BY l_partkey""")
     def aggregate_mode(spark, d, mode=_name):
         g = graph(spark, d, "orders", "part", "lineitem")
         out = query.neighborhood(g, None, ("contains", "D_OUT", "M_FLT"), condition={"type": "order", "filter": "int(slice(vertex.id, 1, null)) < 2000"}, aggregate={"mode": mode})
-        return out.select("id", "mod", F.round(F.col("val") / (1e200 if mode == "product" else 1), 2).alias("val"))
+        return out.select("id", "mod", F.round(F.col("val") / {"product": 1e200, "average": 1000, "sqsum": 1000}.get(mode, 1), {"average": 3, "sqsum": 1}.get(mode, 2)).alias("val"))
 
 
 @register("aggregate_having", """SELECT 'P' || l_partkey AS id, least(CAST(count(*) AS DOUBLE), 2147483647) AS val FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) GROUP BY l_partkey HAVING count(*) > 35
