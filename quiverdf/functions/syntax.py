@@ -55,7 +55,7 @@ class Reader:
 
     def sequence(self, ends: str = "") -> tuple:
         parts = []
-        while self.at < len(self.items) and self.peek() != ends:
+        while self.at < len(self.items) and not (ends and self.peek() == ends):
             parts.append(self.statement())
             if self.peek() in (";", ",") and (self.peek() == ";" or not ends):
                 self.take()

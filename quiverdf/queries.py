@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import Scope, compile_expression
+from .functions.program import fold
 from .operators import vectors
 from .plans import mutate, query
-from .sources.tables import NOW, star_graph
+from .plans.graph import Graph
+from .sources.shared import folder
+from .sources.tables import NOW, star_graph, table
+from .streaming import oplog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -173,17 +177,13 @@ def three_hops(spark, d):
     return query.neighborhood(g, "N2", ("in_nation", "D_IN"), neighbor={"type": "customer", "adjacent": {"arc": ("placed", "D_OUT"), "neighbor": third}}).select("id")
 
 
-@register("dynamic_value", f"""SELECT DISTINCT 'O' || a.l_orderkey AS id, a.val AS val FROM {CONTAINS} a JOIN {CONTAINS} b ON a.l_partkey = b.l_partkey AND b.val > a.val
-    WHERE a.mod = 'M_FLT' AND b.mod = 'M_FLT' AND a.l_partkey = 11""")
+@register("dynamic_value", f"""SELECT 'O' || a.l_orderkey AS id, a.val AS val FROM {CONTAINS} a WHERE a.mod = 'M_FLT' AND a.l_partkey = 11
+    AND EXISTS (SELECT 1 FROM {CONTAINS} b WHERE b.mod = 'M_FLT' AND b.l_orderkey = a.l_orderkey AND b.val > a.val)""")
 def dynamic_value(spark, d):
-    """Orders of a part with an order of the same part of greater value: each next value is held against the one before."""
+    """Orders of a part that hold another part of greater value: each arc is held against the one before it."""
     g = graph(spark, d, "orders", "part", "lineitem")
-    want = {"adjacent": {"arc": ("contains", "D_OUT", "M_FLT"), "neighbor": {"adjacent": {"arc": ("contains", "D_IN", "M_FLT", "V_DYN_GT")}}}}
-    out = query.neighborhood(g, "P11", ("contains", "D_IN", "M_FLT"), neighbor=want)
-    # The middle hop is the same arc seen from the order.
-    lower = g.arcs.filter("rel = 'contains' AND mod = 'M_FLT' AND head = 'P11'").select(F.col("tail").alias("id"), "value")
-    most = lower.agg(F.max("value").alias("most"))
-    return out.join(most, out["val"] < most["most"]).select("id", "val").distinct()
+    want = {"adjacent": {"arc": ("contains", "D_OUT", "M_FLT", "V_DYN_GT")}}
+    return query.neighborhood(g, "P11", ("contains", "D_IN", "M_FLT"), neighbor=want).select("id", "val")
 
 
 @register("arcs_scan", "SELECT 'N' || n_nationkey AS anchor, 'R' || n_regionkey AS id FROM nation WHERE n_nationkey > 9")
@@ -397,3 +397,71 @@ def order_size(spark, d):
 @register("evaluate", "SELECT 2 + 3 * 4 AS y")
 def evaluate(spark, d):
     return spark.range(1).select(compile_expression("2 + 3 * 4", Scope()).col.cast("int").alias("y"))
+
+
+@register("program_running_sum", """SELECT 'C' || o_custkey AS anchor, 'O' || o_orderkey AS id, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, 'O' || o_orderkey
+    ROWS UNBOUNDED PRECEDING), 2) AS value FROM orders""")
+def program_running_sum(spark, d):
+    """A memory program: each order is collected with the sum so far."""
+    rows = query.neighborhood(graph(spark, d, "customer", "orders"), None, ("placed", "D_OUT"), condition={"type": "customer"})
+    rows = rows.select("anchor", F.col("id").alias("next_id"), F.col("rel").alias("arc_rel"), F.col("val").alias("arc_value"))
+    out = fold(rows, "store(R1, load(R1) + next.arc.value); collect(load(R1))", ["arc_value", "next_id"])
+    return out.select("anchor", "id", F.round("value", 2).alias("value"))
+
+
+@register("program_best", """SELECT 'C' || o_custkey AS anchor, max(o_totalprice) AS value FROM orders GROUP BY o_custkey""")
+def program_best(spark, d):
+    """Staging: an arc replaces the staged one if its value is greater; the last row commits."""
+    rows = query.neighborhood(graph(spark, d, "customer", "orders"), None, ("placed", "D_OUT"), condition={"type": "customer"})
+    rows = rows.select("anchor", F.col("id").alias("next_id"), F.col("rel").alias("arc_rel"), F.col("val").alias("arc_value"))
+    last = rows.groupBy("anchor").agg(F.lit(None).cast("string").alias("next_id"), F.lit("end").alias("arc_rel"), F.lit(1e300).alias("arc_value"))
+    text = "next.arc.type == 'end' ? commit() : (next.arc.value > load(R1) ? do(store(R1, next.arc.value), stage()) : 0)"
+    rows = rows.unionByName(last).withColumn("arc_type", F.col("arc_rel"))
+    return fold(rows, text, ["arc_value", "next_id"]).select("anchor", "value")
+
+
+@register("oplog_stream", "SELECT 'C' || o_custkey AS tail, 'O' || o_orderkey AS head, o_totalprice AS value FROM orders WHERE o_orderkey % 3 <> 0")
+def oplog_stream(spark, d):
+    """Arcs go out as operation lines, a third is disconnected by later ones, and a stream applies them to an empty graph."""
+    g = graph(spark, d, "customer", "orders")
+    g = g.with_(arcs=g.arcs.filter("rel = 'placed'"))
+    where = folder(spark, "oplog")
+    oplog.arcs_as_operations(g, 1).write.text(f"{where}/lines/a")
+    gone = g.arcs.filter("CAST(substring(head, 2) AS BIGINT) % 3 = 0")
+    cuts = gone.select(F.concat_ws("\t", F.lit(2), F.monotonically_increasing_id(), F.lit("ard"), "tail", "rel", "mod", "head").alias("value"))
+    cuts.write.text(f"{where}/lines/b")
+    lines = spark.readStream.schema("value string").option("recursiveFileLookup", "true").text(f"{where}/lines")
+    follower = oplog.Follower(spark, f"{where}/state", Graph(spark.createDataFrame([], "id string, type string"), spark.createDataFrame([], "tail string, rel string, mod string, value double, head string")))
+    follower.follow(lines, f"{where}/checkpoint").awaitTermination()
+    return follower.kept.arcs.select("tail", "head", "value")
+
+
+@register("snapshot", "SELECT 'N' || n_nationkey AS tail, 'R' || n_regionkey AS head FROM nation")
+def snapshot(spark, d):
+    where = folder(spark, "snapshot")
+    graph(spark, d, "nation", "region").save(where)
+    return Graph.load(spark, where).arcs.select("tail", "head")
+
+
+@register("windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def windowed_counts(spark, d):
+    return oplog.windowed_counts(table(spark, d, "events")).withColumn("value", F.round("value", 4))
+
+
+@register("properties_set", "SELECT 'N' || n_nationkey AS id, n_nationkey * 2.0 AS twice FROM nation")
+def properties_set(spark, d):
+    g = graph(spark, d, "nation")
+    g = mutate.set_property(g, "twice", g.vertices.select("id", (F.element_at("num", "nationkey") * 2).alias("value")))
+    return query.vertices(g, {"type": "nation"}, select="twice: next.property('twice')").select("id", "twice")
+
+
+@register("direction_both", "SELECT 'A' || n_nationkey AS anchor, 'A' || (n_nationkey + 1) % 25 AS id FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey < 24 UNION ALL SELECT 'A' || (n_nationkey + 1), 'A' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey < 24")
+def direction_both(spark, d):
+    """A ring of which every other step also goes back."""
+    n = table(spark, d, "nation")
+    name = lambda e: F.expr(f"'A' || ({e})")
+    arc = lambda a, b, df: df.select(name(a).alias("tail"), F.lit("next").alias("rel"), F.lit("M_INT").alias("mod"), F.lit(1.0).alias("value"), name(b).alias("head"))
+    there = arc("n_nationkey", "(n_nationkey + 1) % 25", n)
+    back = arc("n_nationkey + 1", "n_nationkey", n.filter("n_nationkey % 2 = 0 AND n_nationkey < 24"))
+    g = Graph(n.select(name("n_nationkey").alias("id")), there.unionByName(back))
+    return query.neighborhood(g, None, ("next", "D_BOTH"), condition={"id": "A*"}).select("anchor", "id")
