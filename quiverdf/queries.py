@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions.columns import Scope, compile_expression
 from .functions.program import fold
-from .operators import vectors
-from .plans import mutate, query
+from .operators import similarity, vectors
+from .plans import mutate, plugins, query
 from .plans.graph import Graph
 from .sources.shared import folder
 from .sources.tables import NOW, star_graph, table
@@ -465,3 +465,74 @@ def direction_both(spark, d):
     back = arc("n_nationkey + 1", "n_nationkey", n.filter("n_nationkey % 2 = 0 AND n_nationkey < 24"))
     g = Graph(n.select(name("n_nationkey").alias("id")), there.unionByName(back))
     return query.neighborhood(g, None, ("next", "D_BOTH"), condition={"id": "A*"}).select("anchor", "id")
+
+
+WORD_MAP = "(SELECT doc_id, list_distinct(string_split(lower(substr(text, 1, 200)), ' ')) AS ws FROM documents WHERE doc_id < 40)"
+
+
+@register("feature_similarity", f"""WITH d AS {WORD_MAP}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.ws, b.ws)) AS n, len(a.ws) AS la, len(b.ws) AS lb FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)
+    SELECT a, b, CAST(n AS INT) AS shared, round(n / sqrt(la * lb), 6) AS cosine, round(n / (la + lb - n), 6) AS jaccard FROM p""")
+def feature_similarity(spark, d):
+    """Neighboring documents as feature vectors of their first words with weight 1."""
+    words = F.array_distinct(F.split(F.lower(F.substring("text", 1, 200)), " ", -1))
+    docs = table(spark, d, "documents").filter("doc_id < 40").select("doc_id", F.map_from_arrays(words, F.transform(words, lambda w: F.lit(1.0))).alias("v"))
+    pairs = docs.select(F.col("doc_id").alias("a"), F.col("v").alias("va")).join(docs.select(F.col("doc_id").alias("b"), F.col("v").alias("vb")), F.col("b") == F.col("a") + 1)
+    va, vb = F.col("va"), F.col("vb")
+    return pairs.select("a", "b", similarity.intersection(va, vb).alias("shared"), F.round(similarity.feature_cosine(va, vb), 6).alias("cosine"), F.round(similarity.feature_jaccard(va, vb), 6).alias("jaccard"))
+
+
+@register("quantised_kernels", """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x::DOUBLE / (list_max(list_transform(embedding, lambda y: abs(y::DOUBLE))) / 127.0)) AS BIGINT)) AS v FROM embeddings WHERE vec_id < 50)
+    SELECT a.vec_id AS a, CAST(list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[]) AS BIGINT) AS dp, CAST(list_dot_product(a.v::DOUBLE[], a.v::DOUBLE[]) AS BIGINT) AS ssq, round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 6) AS cos,
+    round(list_distance(a.v::DOUBLE[], b.v::DOUBLE[]), 4) AS ecld FROM q a JOIN q b ON b.vec_id = a.vec_id + 1""")
+def quantised_kernels(spark, d):
+    rows = table(spark, d, "embeddings").filter("vec_id < 50").select("vec_id", similarity.quantised(F.col("embedding")).alias("v"))
+    pairs = rows.select(F.col("vec_id").alias("a"), F.col("v").alias("va")).join(rows.select(F.col("vec_id").alias("b"), F.col("v").alias("vb")), F.col("b") == F.col("a") + 1)
+    va, vb = F.col("va"), F.col("vb")
+    return pairs.select(
+        "a", similarity.dp_pi8(va, vb).alias("dp"), similarity.ssq_pi8(va).alias("ssq"), F.round(similarity.cos_pi8(va, vb), 6).alias("cos"), F.round(similarity.ecld_pi8(va, vb), 4).alias("ecld")
+    )
+
+
+@register("plugin_merge", "SELECT 'C' || o_custkey AS anchor, 'O' || o_orderkey AS id, o_totalprice AS val FROM orders WHERE o_totalprice > 180000 ORDER BY val DESC, anchor, id LIMIT 12")
+def plugin_merge(spark, d):
+    """A plugin's responses from two shards of the arcs, merged by value."""
+    g = graph(spark, d, "customer", "orders")
+    placed = g.arcs.filter("rel = 'placed'")
+    shards = [g.with_(arcs=placed.filter(f"pmod(crc32(CAST(head AS BINARY)), 2) = {k}")) for k in (0, 1)]
+    known = plugins.Plugins()
+
+    def dear(graph: Graph, least: float) -> DataFrame:
+        return query.neighborhood(graph, None, ("placed", "D_OUT", "M_FLT", "V_GT", least), condition={"type": "customer"}).select("anchor", "id", "val")
+
+    known.add("dear", dear)
+    return known.call("dear", shards, sortkey="val", hits=12, least="180000")
+
+
+@register("truncate_type", "SELECT 'N' || n_nationkey AS id, 'nation' AS type FROM nation")
+def truncate_type(spark, d):
+    g = mutate.truncate(graph(spark, d, "nation", "customer"), "customer")
+    return g.vertices.select("id", "type")
+
+
+@register("degrees", "SELECT 'N' || n_nationkey AS id, CAST(count(c_custkey) AS BIGINT) AS ideg, CAST(1 AS BIGINT) AS odeg, CAST(1 + count(c_custkey) AS BIGINT) AS deg FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def degrees(spark, d):
+    return graph(spark, d, "nation", "customer").degrees().filter("id LIKE 'N%'").select("id", "ideg", "odeg", "deg")
+
+
+@register("macros", "SELECT 'C' || c_custkey AS id, c_acctbal / 1000 AS wealth FROM customer WHERE c_acctbal / 1000 > 9")
+def macros(spark, d):
+    g = graph(spark, d, "customer")
+    g.define("wealth := vertex['acctbal'] / 1000")
+    return query.vertices(g, {"type": "customer", "filter": "wealth > 9"}, select="wealth: next['acctbal'] / 1000").select("id", "wealth")
+
+
+@register("neighbors_distinct", "SELECT DISTINCT 'P' || l_partkey AS id FROM lineitem WHERE l_orderkey = 3")
+def neighbors_distinct(spark, d):
+    return query.terminals(graph(spark, d, "orders", "lineitem", "part"), "O3")
+
+
+@register("arc_value_query", "SELECT o_totalprice AS value FROM orders WHERE o_orderkey = 5")
+def arc_value_query(spark, d):
+    g = graph(spark, d, "customer", "orders")
+    owner = g.arcs.filter("rel = 'placed' AND head = 'O5'").first()["tail"]
+    return query.arc_value(g, owner, ("placed", "D_OUT", "M_FLT"), "O5")
