@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 import tempfile
-import types
 import uuid
 
 from pyspark import cloudpickle
@@ -20,14 +19,6 @@ def by_value(module: str) -> None:
 by_value(__name__)
 
 
-def kept_by_worker(key: str, make):
-    """make()'s value, which a Python worker keeps for its later tasks; functions shipped by value have no module to keep it in."""
-    store = sys.modules.setdefault("quiverdf_worker_store", types.ModuleType("quiverdf_worker_store"))
-    if getattr(store, "key", None) != key:
-        store.key, store.value = key, make()
-    return store.value
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
