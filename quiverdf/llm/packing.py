@@ -77,7 +77,10 @@ class WordTokenizer(dict):
             self.clear()
         m = self.PLAIN.fullmatch(word)
         if m:
-            ids = [t.id for part in m.groups() if part for t in self.model.tokenize("".join([self.letters[b] for b in part.lower().encode()]))]
+            parts = [p.lower() for p in m.groups() if p]
+            if not word.isascii():  # ASCII letters and punctuation stand for themselves
+                parts = ["".join([self.letters[b] for b in p.encode()]) for p in parts]
+            ids = [t.id for p in parts for t in self.model.tokenize(p)]
         else:
             ids = self.plain.encode(word, add_special_tokens=False).ids
         self[word] = out = array("I", ids).tobytes()
