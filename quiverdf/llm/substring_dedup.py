@@ -314,7 +314,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(spark)
     work = Workspace(spark)
     lanes = partitions(spark)
-    buckets = lanes * BUCKETS_PER_PARTITION + 1 - lanes * BUCKETS_PER_PARTITION % 2
+    # Contexts are dealt into buckets, documents and their ranges onto shelves.
+    buckets, shelves = lanes * BUCKETS_PER_PARTITION, 2 * lanes + 1
     null_id = -(1 << 63)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("body"))
 
@@ -326,7 +327,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rec, where = np.concatenate(held), np.concatenate(held_buckets)
             ranges, left = settle(rec, where)
             ranges = merged(ranges)
-            return frame(blobs(KEPT_RECORDS, where[left], rec[left]) + blobs(KEPT_RANGES, bucket_of(ranges["doc"], buckets), ranges))
+            return frame(blobs(KEPT_RECORDS, where[left], rec[left]) + blobs(KEPT_RANGES, bucket_of(ranges["doc"], shelves), ranges))
 
         for batch in batches:
             for b, valid, doc, at in parts(zip(batch["id"].tolist(), batch["body"].tolist(), strict=True)):
@@ -344,17 +345,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield flush()
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        settled, asks, n = [], [], 0
+
+        def flush():
+            ranges, ask = np.concatenate(settled), np.concatenate(asks)
+            return frame(blobs(KEPT_RANGES, bucket_of(ranges["doc"], shelves), ranges) + blobs(KEPT_OPEN, bucket_of(ask["doc"], shelves), ask))
+
         for bucket, mine in by_bucket(batches):
-            passed = [(KEPT_RANGES, bucket, x) for k, x in mine if k == KEPT_RANGES]
+            known = np.frombuffer(b"".join(x for k, x in mine if k == KEPT_RANGES), RANGE)
             rec = np.frombuffer(b"".join(x for k, x in mine if k == KEPT_RECORDS), RECORD)
             ranges, left = settle(rec, np.zeros(len(rec), np.int8))
             rec = rec[left]
             rec = rec[open_records(rec)]
             ask = np.zeros(len(rec), OPEN)
             ask["doc"], ask["at"], ask["size"], ask["bucket"] = rec["doc"], rec["at"], rec["more"] + LENGTH, bucket
-            out = passed + blobs(KEPT_RANGES, bucket_of(ranges["doc"], buckets), ranges) + blobs(KEPT_OPEN, bucket_of(ask["doc"], buckets), ask)
-            if out:
-                yield frame(out)
+            settled += [known, ranges]
+            asks.append(ask)
+            n += len(known) + len(ranges) + len(ask)
+            if n >= FLUSH_RECORDS:
+                yield flush()
+                settled, asks, n = [], [], 0
+        if n:
+            yield flush()
 
     def by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
         now, mine = None, []
@@ -374,7 +386,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = met.filter(F.col("kind") == KEPT_RANGES).select("bucket", "rows")
     asked = met.filter(F.col("kind") == KEPT_OPEN).select("bucket", "rows")
 
-    bodies = source.withColumn("bucket", F.pmod("id", F.lit(buckets).cast("long")))
+    bodies = source.withColumn("bucket", F.pmod("id", F.lit(shelves).cast("long")))
 
     def cut_out(mine: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         rows = np.frombuffer(b"".join(asks["rows"]), OPEN)
@@ -399,7 +411,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ordered(some: pd.DataFrame) -> pd.DataFrame:
         found = repeated(some["text"].tolist(), some["doc"].to_numpy(np.int64), some["at"].to_numpy(np.int64))
-        return frame(blobs(KEPT_RANGES, bucket_of(found["doc"], buckets), found))
+        return frame(blobs(KEPT_RANGES, bucket_of(found["doc"], shelves), found))
 
     if not asked.isEmpty():
         open_texts = bodies.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(lambda a, b: cut_out(a, b), "bucket long, doc long, at long, text binary")
