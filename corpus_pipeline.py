@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverdf.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
+from quiverdf.llm import exact_dedup, jaccard_dedup, mixing, packing, toxicity
 from quiverdf.llm.common import Workspace, crc_of, table
 from quiverdf.llm.queries import tokenizer_path
 
@@ -32,8 +32,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates keeps the document with the smallest id."""
-    groups = simhash_dedup.near_groups(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    """Of each group of near-duplicates (shingles of five words, Jaccard similarity of 0.8 or more) keeps the document with the smallest id."""
+    groups = jaccard_dedup.similar_groups(docs, similarity=0.8, words=5).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return without(docs, Workspace(spark).keep(groups, "dropped"))
 
 

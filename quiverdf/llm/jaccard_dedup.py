@@ -1,0 +1,141 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, candidates by MinHash bands, links by exact comparison.
+
+A pair at similarity s shares a band of `ROWS` hashes with probability s**ROWS; of `BANDS` bands a pair at 0.8 misses all
+with probability 5e-8. Each candidate pair is checked on its whole shingle sets. First each bucket's members are held
+against its smallest; then members of one bucket that are in different components meet each other, so a large group of
+near copies costs a star and not its pairs.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Workspace, bounded_batches, by_value
+from .simhash_dedup import components
+
+by_value(__name__)
+
+SIMILARITY = 0.8
+WORDS = 5
+SEED = 42
+ROWS = 4
+BANDS = 32
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+BLOCK = 4096
+
+
+def shingles(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle, one without words has none."""
+    import xxhash
+
+    tokens = text.translate(LOWER).split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(tokens)
+    ends = np.fromiter(map(len, tokens), np.int64, len(tokens)).cumsum() + np.arange(len(tokens))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(len(tokens) - words + 1, 1)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)], dtype=np.uint64))
+
+
+def signature(grams: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """The least value of each of ROWS * BANDS hash functions over a set that is not empty."""
+    r = np.random.default_rng(seed)
+    factor = r.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = r.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2)
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), BLOCK):
+        least = np.minimum(least, (grams[None, at : at + BLOCK] * factor[:, None] + shift[:, None]).min(1))
+    return least
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
+    """id, whole (a 128-bit hash of the shingle set), sig (32 bits of each least hash), keys (one for each band)."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            whole, sigs, keys = [], [], []
+            for body in batch["body"]:
+                grams = shingles(bytes(body), words)
+                whole.append(xxhash.xxh3_128_hexdigest(grams.tobytes()))
+                sig = signature(grams) if len(grams) else grams
+                sigs.append((sig >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                bands = [xxhash.xxh64_intdigest(sig[k : k + ROWS].tobytes(), k) for k in range(0, len(sig), ROWS)]
+                keys.append(np.array(bands, np.uint64).view(np.int64))
+            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "whole": whole, "sig": sigs, "keys": keys})
+
+    return bodies(docs, id_col, text_col).mapInPandas(run, "id long, whole string, sig array<int>, keys array<long>")
+
+
+def sets(bodies: DataFrame, words: int = WORDS) -> DataFrame:
+    """id, whole, grams: the shingle sets themselves."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            grams = [shingles(bytes(x), words) for x in batch["body"]]
+            yield pd.DataFrame({"id": batch["id"], "whole": [xxhash.xxh3_128_hexdigest(g.tobytes()) for g in grams], "grams": [g.view(np.int64) for g in grams]})
+
+    return bodies.mapInPandas(run, "id long, whole string, grams array<long>")
+
+
+def bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("body"))
+
+
+def verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose shingle sets have at least the similarity."""
+    both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return both.filter(shared / (F.size("ga") + F.size("gb") - shared) >= similarity).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """One row per input row: id, component_id (smallest id that links reach).
+
+    Two rows are linked if the Jaccard similarity of their shingle sets is at least `similarity`, which should not be
+    below 0.8. Null and empty texts have equal sets. Rows with a null id take part with the smallest other id of their
+    shingle set, or null where there is none. Repeated rows give repeated rows. An empty table gives an empty result.
+    """
+    work = Workspace(docs.sparkSession)
+    rows = work.keep(sketches(docs, id_col, text_col, words), "sketches")
+    nodes = work.keep(rows.filter("id IS NOT NULL").groupBy("whole").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "sets")
+    # An id with several texts stands for several sets, so nodes are numbered apart from ids.
+    nodes = work.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bands = nodes.select("node", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1").select("key", "low")
+    members = work.keep(bands.join(shared, "key"), "members")
+    open_nodes = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "whole")
+    texts = bodies(docs, id_col, text_col).join(open_nodes.select("id").distinct(), "id", "left_semi")
+    grams = work.keep(sets(texts, words).join(open_nodes, ["id", "whole"]).dropDuplicates(["node"]).select("node", "grams"), "grams")
+
+    stars = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    first = work.keep(verified(stars, grams, similarity), "stars")
+    label = components(first, work)
+    placed = work.keep(members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    apart = placed.join(mixed, "key", "left_semi").join(nodes.select("node", "sig"), "node")
+    side = lambda s: apart.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "sig")])
+    # A pair at the similarity agrees in fewer hashes than this with probability under 1e-10.
+    n = ROWS * BANDS
+    least = int(n * similarity - 7 * math.sqrt(n * similarity * (1 - similarity)))
+    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
+    pairs = side("a").join(side("b"), "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (agree >= least))
+    second = verified(work.keep(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs"), grams, similarity)
+
+    label = components(work.keep(first.union(second), "links"), work)
+    labelled = nodes.join(label, "node", "left").select("whole", "id", F.coalesce("label", "node").alias("label"))
+    smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
+    named = work.keep(labelled.join(smallest, "label").select("whole", "component_id"), "named")
+    return rows.select("id", "whole").join(named, "whole", "left").select(F.col("id").alias(id_col), "component_id")
