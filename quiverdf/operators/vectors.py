@@ -38,11 +38,16 @@ def buckets(fp, size: int, slices: int):
     return F.array(*[F.struct(F.lit(k).alias("slice"), F.shiftrightunsigned(fp, k * step).bitwiseOR(F.shiftleft(fp, (64 - k * step) % 64) if k else F.lit(0).cast("long")).bitwiseAND(F.lit((1 << size) - 1)).alias("key")) for k in range(slices)])
 
 
-def ann(rows: DataFrame, probes: DataFrame, k: int = 10, key_bits: int = 8, slices: int = 16) -> DataFrame:
-    """For each probe the k most similar rows among those that share a bucket with it, by exact cosine."""
+def ann(rows: DataFrame, probes: DataFrame, k: int = 10, key_bits: int = 8, slices: int = 16, flips: int = 2) -> DataFrame:
+    """For each probe the k most similar rows, by exact cosine, among those of its buckets and of all whose key differs in up to `flips` bits."""
     keyed = lambda df: fingerprints(df).select("id", "vector", "fp", F.explode(buckets(F.col("fp"), key_bits, slices)).alias("b")).select("id", "vector", "fp", "b.slice", "b.key")
-    left = keyed(probes).select(F.col("id").alias("probe"), F.col("vector").alias("pv"), "slice", "key")
-    pairs = left.join(keyed(rows), ["slice", "key"]).dropDuplicates(["probe", "id"]).withColumn("sim", cosine(F.col("pv"), F.col("vector")))
+    near = F.array(*[F.lit(m).cast("long") for m in range(1 << key_bits) if m.bit_count() <= flips])
+    left = keyed(probes).select(F.col("id").alias("probe"), F.col("vector").alias("pv"), F.col("fp").alias("pf"), "slice", F.col("key").alias("own"), F.explode(near).alias("mask"))
+    left = left.select("probe", "pv", "pf", "slice", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
+    # A pair that meets in several slices counts in the first of them.
+    apart = buckets(F.col("pf").bitwiseXOR(F.col("fp")), key_bits, slices)
+    first = F.filter(apart, lambda b: F.bit_count(b["key"]) <= flips)[0]["slice"]
+    pairs = left.join(keyed(rows.dropDuplicates(["id"])), ["slice", "key"]).filter(F.col("slice") == first).withColumn("sim", cosine(F.col("pv"), F.col("vector")))
     best = Window.partitionBy("probe").orderBy(F.col("sim").desc(), "id")
     return pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("probe", "id", "sim", "place")
 

@@ -298,10 +298,10 @@ def centroid(spark, d):
 
 @register("ann_search")
 def ann_search(spark, d):
-    """Nearest neighbors through fingerprint buckets, reranked exactly."""
+    """Nearest neighbors of every row whose id is divisible by 100, through fingerprint buckets, reranked exactly."""
     g = graph(spark, d, "embeddings")
     rows = g.vertices.select("id", "vector")
-    return vectors.ann(rows, rows.filter("id IN ('V0', 'V1', 'V2')"), k=10)
+    return vectors.ann(rows, rows.filter("CAST(substring(id, 2) AS BIGINT) % 100 = 0"), k=10)
 
 
 @register("fingerprints")
