@@ -2,8 +2,9 @@
 
 A line holds a transaction number, a serial within it, an operation and its arguments, divided by tabs:
 vxn id type (create vertex), vxd id (delete vertex), arc tail rel mod value head (connect), ard tail rel mod head
-(disconnect), vps id key value (set property), vxt id tmx (set expiry). Batches that come again after a failure leave
-the state as it is, since each (transaction, serial) counts once and each batch writes a state of its own number.
+(disconnect), vps id key value (set property), vxt id tmx (set expiry). Lines and batches that come again leave the
+state as it is, since each (transaction, serial) counts once in all batches of a follower, which writes those it has
+applied beside each state.
 """
 
 from __future__ import annotations
@@ -38,6 +39,23 @@ def arg(k: int):
     return F.get("args", k)
 
 
+def with_properties(graph: Graph, values: DataFrame) -> Graph:
+    """values: id, key, value (text), one row per id and key. Numbers go to num unless the key is declared as text, or is new and has other values too."""
+    values = values.filter(F.col("id").isNotNull() & F.col("key").isNotNull() & F.col("value").isNotNull())
+    number = F.col("value").try_cast("double")
+    kinds = {r["key"]: "real" if r["real"] else "str" for r in values.groupBy("key").agg(F.bool_and(number.isNotNull()).alias("real")).collect()}
+    types = {**kinds, **graph.property_types}
+    texts = [k for k in kinds if types[k] == "str"]
+    real = number.isNotNull() & ~F.col("key").isin(texts)
+    pairs = lambda test, v: F.map_from_entries(F.collect_list(F.when(test, F.struct("key", v.alias("v")))))
+    new = values.groupBy("id").agg(F.collect_set("key").alias("__keys"), pairs(real, number).alias("__num"), pairs(~real, F.col("value")).alias("__text"))
+    vertices = graph.vertices.join(new, "id", "left")
+    for column, kind in (("num", "double"), ("text", "string")):
+        old = F.coalesce(F.map_filter(F.col(column), lambda k, v: ~F.array_contains("__keys", k)), F.create_map().cast(f"map<string,{kind}>"))
+        vertices = vertices.withColumn(column, F.when(F.col("__keys").isNotNull(), F.map_concat(old, F.col(f"__{column}"))).otherwise(F.col(column)))
+    return graph.with_(vertices=vertices.drop("__keys", "__num", "__text"), property_types=types)
+
+
 def applied(graph: Graph, ops: DataFrame) -> Graph:
     """The graph after all operations of a batch; of several on one key the last by (trans, serial) counts, counters add up."""
     ops = ops.dropDuplicates(["trans", "serial"])
@@ -45,6 +63,7 @@ def applied(graph: Graph, ops: DataFrame) -> Graph:
     of = lambda op: ops.filter(F.col("op") == op)
     made = last(of("vxn").select("trans", "serial", arg(0).alias("id"), arg(1).alias("type")), "id")
     graph = mutate.create_vertices(graph, made)
+    graph = with_properties(graph, last(of("vps").select("trans", "serial", arg(0).alias("id"), arg(1).alias("key"), arg(2).alias("value")), "id", "key"))
     links = of("arc").select("trans", "serial", arg(0).alias("tail"), arg(1).alias("rel"), arg(2).alias("mod"), arg(3).try_cast("double").alias("value"), arg(4).alias("head"))
     cuts = last(of("ard").select("trans", "serial", arg(0).alias("tail"), arg(1).alias("rel"), arg(2).alias("mod"), arg(3).alias("head")), "tail", "rel", "mod", "head")
     cut_at = cuts.select("tail", "rel", "mod", "head", F.struct("trans", "serial").alias("__cut"))
@@ -66,13 +85,19 @@ class Follower:
         self.spark, self.folder = spark, folder
         self.kept = start
         self.batch = -1
+        self.seen: list[str] = []
 
     def _apply(self, lines: DataFrame, batch: int) -> None:
-        path = f"{self.folder}/state-{batch}"
-        graph = applied(self.kept, parsed(lines))
+        path = f"{self.folder}/state-{len(self.seen)}"
+        ops = parsed(lines)
+        if self.seen:
+            ops = ops.join(self.spark.read.parquet(*self.seen), ["trans", "serial"], "left_anti")
+        graph = applied(self.kept, ops)
+        ops.select("trans", "serial").distinct().write.mode("overwrite").parquet(f"{path}/seen")
         graph.vertices.write.mode("overwrite").parquet(f"{path}/vertices")
         graph.arcs.write.mode("overwrite").parquet(f"{path}/arcs")
         self.kept = graph.with_(vertices=self.spark.read.parquet(f"{path}/vertices"), arcs=self.spark.read.parquet(f"{path}/arcs"))
+        self.seen.append(f"{path}/seen")
         self.batch = batch
 
     def follow(self, lines: DataFrame, checkpoint: str):
