@@ -19,31 +19,24 @@ from .common import Workspace
 
 FIRST_BYTES = 64
 GROWTH = 16
+REPEATS = 1 << 16
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_bytes: int = FIRST_BYTES) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     keep_id is the largest id of the rows with an equal text and group_size their number. Null counts as the empty
-    text. A null id never beats another one; repeated rows count as rows, so that of rows with equal id and text all
-    are `kept` when their id is. An empty table gives an empty result; other columns are ignored.
+    text. A null id never beats another one. Of rows with that id and text one is `kept`, so of every text exactly one
+    row stays. Ids can be of any type that has an order. An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark)
+    work = Workspace(docs.sparkSession)
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
-    active = docs.select(
-        F.col(id_col).alias("id"),
-        F.sha2(body, 256).alias("sha"),
-        F.struct(F.lit(0).cast("long").alias("id"), F.lit("").alias("sha")).alias("gid"),
-        body.alias("rest"),
-    )
+    active = docs.select(F.col(id_col).alias("id"), F.sha2(body, 256).alias("sha"), F.lit(0).cast("long").alias("gid"), body.alias("rest"))
     width, level, done = first_bytes, 0, []
     while True:
         step = active.withColumn("chunk", F.substring("rest", 1, width))
-        # The smallest (id, digest) only names a group; it decides nothing.
-        groups = step.groupBy("gid", "chunk").agg(
-            F.count("*").alias("n"), F.max("id").alias("top"), F.min(F.struct(F.coalesce("id", F.lit(0).cast("long")).alias("id"), "sha")).alias("name")
-        )
+        # A group's number is written with it, so that it stays.
+        groups = step.groupBy("gid", "chunk").agg(F.count("*").alias("n"), F.max("id").alias("top")).withColumn("name", F.monotonically_increasing_id())
         groups = work.keep(groups, f"groups{level}")
         ended = (F.col("n") == 1) | (F.octet_length("chunk") < width)
         done.append(
@@ -60,4 +53,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    # Rows that are equal in all of these differ in `kept` alone: the first of them may have it. They are counted and
+    # dealt out again in two steps, so that no array grows with their number.
+    same = out.groupBy("id", "keep_id", "group_size", "sha").agg(F.count("*").alias("times"))
+    block = same.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS))))
+    most = F.least(F.col("times") - F.col("block") * REPEATS, F.lit(REPEATS).cast("long"))
+    each = block.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), most)))
+    first = (F.col("block") == 0) & (F.col("place") == 1)
+    return each.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & first).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_value
+from .common import bounded_batches, by_value, extended
 
 by_value(__name__)
 
@@ -85,7 +85,11 @@ class Profiles:
 
 
 def learn(docs: DataFrame, trained: Column, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE_PER_LANGUAGE) -> Profiles:
-    """Profiles from the rows where `trained` holds and text and language are not null; about `sample` rows a language."""
+    """Profiles from the rows where `trained` holds and text and language are not null; about `sample` rows a language.
+
+    Repeated rows count as often as they stand there, rows of one id are taken or left together. N-grams of equal
+    frequency rank by their code points. An empty table gives no profile.
+    """
     rows = docs.filter(trained & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
@@ -109,11 +113,11 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     """
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
         for batch in batches:
-            found = [profiles.predict(t, letters) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "lang_pred": pd.Series([x[0] for x in found], dtype=object), "score": pd.Series([x[1] for x in found], dtype=float)})
+            found = [profiles.predict(t, letters) for t in batch.column("text").to_pylist()]
+            yield extended(batch, ["id"], lang_pred=pa.array([x[0] for x in found], pa.string()), score=pa.array([x[1] for x in found], pa.float64()))
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, lang_pred string, score double")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)

@@ -1,7 +1,8 @@
 """Personal data: base patterns, and bootstrapped extraction from the contexts in which base finds stand.
 
-The base patterns give the seeds. Every occurrence of a seed or of a token that looks like an identifier has the two
-words before it as its lexical pattern. Patterns and instances form a graph: a pattern's confidence is the share of all
+The base patterns give the seeds. Every occurrence of a seed or of a token that looks like an identifier (four digits or
+an @ at least) has the two words before it as its lexical pattern; what is glued to it ("tel:", "<") ends the second word,
+and ^ stands for a word before the text's start. Patterns and instances form a graph: a pattern's confidence is the share of all
 its occurrences in the whole corpus that are followed by an accepted instance, an instance's score combines the
 confidences of the patterns that it follows. Both are computed in turn for `ROUNDS` rounds; instances over the
 threshold are accepted and support patterns in the next round. What stands behind a pattern of high confidence is
@@ -14,11 +15,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, by_value
+from .common import Workspace, bounded_batches, by_value, extended
 
 by_value(__name__)
 
@@ -27,8 +28,12 @@ FOUND = "id"
 ROUNDS = 3
 #: A pattern needs this many different instances, and this confidence to extract; an instance this score to be accepted.
 SUPPORT, CONFIDENCE, ACCEPT = 5, 0.7, 0.7
-#: Patterns whose occurrences are counted in one pass over the texts; more patterns take more passes.
-BLOCK_PATTERNS = 200_000
+START = "^"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FOLD = str.maketrans(UPPER, LOWER)
+SPACES = " \t\n\v\f\r"
+#: A second word that is glued to an instance ends with one of these.
+GLUE = r"""^(.*["'<>=,;:(\[])[^"'<>=,;:(\[]"""
 
 # The base patterns. The look-behind of `ip` only keeps long digit runs linear.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -38,7 +43,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]*$")
 DIGIT = re.compile("[0-9]")
-CANDIDATE = re.compile(r"\(?[0-9][0-9()\x20.-]{6,30}[0-9]|[^\s\"'<>=,;:]*[0-9@][^\s\"'<>=,;:]*")
+CANDIDATE = re.compile(r"\(?[0-9](?:[()\x20.-]*+[0-9])++|[^\s\"'<>=,;:0-9@]*+[0-9@][^\s\"'<>=,;:]*+")
 
 
 def luhn(digits: str) -> bool:
@@ -90,18 +95,19 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 
 
 def context(text: str, start: int) -> str:
-    """The last two words before a place, lower case; the empty string if there are fewer."""
+    """The last two words before a place, in lower case; START for those that the text lacks."""
     width = 64
     while True:
-        words = text[max(0, start - width) : start].lower().split()
+        # A word that the cut may have shortened is left out.
+        words = text[max(0, start - width) : start].translate(FOLD).split()
         if len(words) > 2 or width >= start:
-            return " ".join(words[-2:]) if len(words) > 1 else ""
+            return " ".join([START, START, *words][-2:])
         width *= 4
 
 
 def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
     """(pattern, instance, start, end, seed) of base finds and other tokens that look like identifiers."""
-    out = [(context(text, a), text[a:b].lower(), a, b, True) for _, a, b in base]
+    out = [(context(text, a), text[a:b].translate(FOLD), a, b, True) for _, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
     k = 0
     if DIGIT.search(text) or "@" in text:
@@ -111,13 +117,13 @@ def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple]:
                 b -= 1
             while a < b and not (text[a].isalnum() or text[a] in "(+"):
                 a += 1
-            if not 5 <= b - a <= 64 or len(DIGIT.findall(text[a:b])) < 4 and "@" not in text[a:b]:
+            if len(DIGIT.findall(text[a:b])) < 4 and "@" not in text[a:b]:
                 continue
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
             if not (k < len(taken) and taken[k][0] < b):
-                out.append((context(text, a), text[a:b].lower(), a, b, False))
-    return [x for x in out if x[0]]
+                out.append((context(text, a), text[a:b].translate(FOLD), a, b, False))
+    return out
 
 
 SCAN = "id long, row long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<pattern:string,instance:string,start:long,end:long,seed:boolean>>"
@@ -125,52 +131,47 @@ SCAN = "id long, row long, n_email long, n_ip long, n_card long, n_phone long, b
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
+    names = ("pattern", "instance", "start", "end", "seed")
+    kind = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, row, text in zip(batch["id"].astype("Int64"), batch["row"], batch["text"], strict=True):
+            counts, bases, found = [], [], []
+            for text in batch.column("text").to_pylist():
                 base = base_spans(text)
                 n = Counter(k for k, _, _ in base)
-                found = [dict(zip(("pattern", "instance", "start", "end", "seed"), x, strict=True)) for x in occurrences(text, base)]
-                rows.append((doc_id, row, *(n[k] for k in KINDS), listed(base), found))
-            yield pd.DataFrame(rows, columns=["id", "row", *(f"n_{k}" for k in KINDS), "base", "found"]).astype({"id": "Int64"})
+                counts.append([n[k] for k in KINDS])
+                bases.append(listed(base))
+                found.append([dict(zip(names, x, strict=True)) for x in occurrences(text, base)])
+            by_kind = {f"n_{k}": pa.array([c[i] for c in counts], pa.int64()) for i, k in enumerate(KINDS)}
+            yield extended(batch, ["id", "row"], **by_kind, base=pa.array(bases, pa.string()), found=pa.array(found, kind))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text")).mapInPandas(run, SCAN)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text")).mapInArrow(run, SCAN)
 
 
 def corpus_counts(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
-    """pattern, total: occurrences of each pattern's two words in all texts, whatever follows them."""
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], "pattern string, total long")
-
-    def count(block: list[str]) -> DataFrame:
-        wanted = spark.sparkContext.broadcast(frozenset(tuple(p.split(" ")) for p in block))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total: Counter = Counter()
-            known = wanted.value
-            for batch in batches:
-                for text in batch["text"]:
-                    w = text.lower().split()
-                    total.update(p for p in zip(w, w[1:], strict=False) if p in known)
-            yield pd.DataFrame({"pattern": pd.Series([" ".join(p) for p in total], dtype=object), "total": pd.Series(list(total.values()), dtype="int64")})
+    """pattern, total: occurrences of each pattern's two words in all texts, whatever follows them.
 
-        texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        return texts.mapInPandas(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
-
-    block: list[str] = []
-    for r in patterns.select("pattern").toLocalIterator():
-        block.append(r["pattern"])
-        if len(block) >= BLOCK_PATTERNS:
-            out, block = out.unionByName(count(block)), []
-    return out.unionByName(count(block)) if block else out
+    All pairs of neighboring words are joined with the patterns before they are counted; Spark picks the kind of join
+    by the patterns' size.
+    """
+    folded = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER + SPACES, LOWER + " " * len(SPACES))
+    words = F.concat(F.array(F.lit(START), F.lit(START)), F.filter(F.split(folded, " "), lambda w: w != ""))
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    each = docs.select(F.explode(pairs).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    glued = F.regexp_extract("b", GLUE, 1)
+    ends = F.when(F.col("b").rlike(GLUE), F.array(F.col("b"), glued)).otherwise(F.array("b"))
+    told = each.select("a", F.explode(ends).alias("b")).select(F.concat_ws(" ", "a", "b").alias("pattern"))
+    return told.join(patterns.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
 
 
 def confident_patterns(seen: DataFrame, totals: DataFrame, work: Workspace) -> DataFrame:
     """seen: pattern, instance, times, seed. Scores patterns and instances in turn; gives pattern, confidence."""
-    graph = work.keep(seen.join(totals, "pattern"), "graph")
+    graph = work.keep(seen.join(totals, "pattern", "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long"))), "graph")
+    # A pattern stands in the corpus at least as often as instances behind it were seen.
+    least = graph.groupBy("pattern").agg(F.greatest(F.max("total"), F.sum("times")).alias("total"))
+    graph = work.keep(graph.drop("total").join(least, "pattern"), "weighed")
     accepted = graph.groupBy("instance").agg(F.max("seed").alias("seed")).select("instance", F.col("seed").cast("double").alias("score"))
     accepted = work.keep(accepted, "instances0")
     for k in range(ROUNDS):
@@ -191,8 +192,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per input row: id, n_email, n_ip, n_card, n_phone (base finds), base_sha256, spans.
 
     spans lists base finds by kind and start, then finds by context as kind `id`; offsets are code points, ends are
-    exclusive. Null counts as the empty text, which has no spans. Repeated rows give repeated rows; an empty table
-    gives an empty result; other columns are ignored.
+    exclusive. Null counts as the empty text, which has no spans. Repeated rows give repeated rows and count in patterns
+    as often as they stand there; null and repeated ids are rows like others; an empty table gives an empty result;
+    other columns are ignored.
     """
     work = Workspace(docs.sparkSession)
     rows = work.keep(scan(docs, id_col, text_col), "scan")

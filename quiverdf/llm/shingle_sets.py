@@ -1,27 +1,26 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, candidates by MinHash bands, links by exact comparison.
+"""Links of texts by the Jaccard similarity of their word shingles, for `simhash_dedup` where a similarity is asked for.
 
-A pair at similarity s shares a band of `ROWS` hashes with probability s**ROWS; of `BANDS` bands a pair at 0.8 misses all
-with probability 5e-8. Each candidate pair is checked on its whole shingle sets. First each bucket's members are held
-against its smallest; then members of one bucket that are in different components meet each other, so a large group of
-near copies costs a star and not its pairs.
+Candidates are pairs that fingerprints propose and pairs that share a MinHash band. A pair at similarity s shares a band
+of `ROWS` hashes with probability s**ROWS; of `BANDS` bands a pair at 0.8 misses all with probability 5e-8. Each
+candidate pair is checked on its whole shingle sets. First each bucket's members are held against its smallest; then
+members of one bucket that are in different components meet each other, so a large group of near copies costs a star
+and not its pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, by_value
-from .simhash_dedup import components
+from .common import Workspace, bounded_batches, by_value, components, extended
 
 by_value(__name__)
 
-SIMILARITY = 0.8
 WORDS = 5
 SEED = 42
 ROWS = 4
@@ -30,8 +29,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 BLOCK = 4096
 
 
-def shingles(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle, one without words has none."""
+def digests(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """64-bit hashes of a text's word shingles, repeats included; a shorter text is one shingle, one without words has none."""
     import xxhash
 
     tokens = text.translate(LOWER).split()
@@ -42,7 +41,20 @@ def shingles(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(len(tokens) - words + 1, 1)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)], dtype=np.uint64))
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)], dtype=np.uint64)
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct ones."""
+    return np.unique(digests(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of shingle hashes: bits that over half of them have."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        count += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return sum(1 << int(k) for k in np.flatnonzero(2 * count > len(hashes)))
 
 
 def signature(grams: np.ndarray, seed: int = SEED) -> np.ndarray:
@@ -57,37 +69,41 @@ def signature(grams: np.ndarray, seed: int = SEED) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """id, whole (a 128-bit hash of the shingle set), sig (32 bits of each least hash), keys (one for each band)."""
+    """id, fp (the fingerprint), whole (a 128-bit hash of the shingle set), sig (32 bits of each least hash), keys (one for each band)."""
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            whole, sigs, keys = [], [], []
-            for body in batch["body"]:
-                grams = shingles(bytes(body), words)
+            fps, whole, sigs, keys = [], [], [], []
+            for body in batch.column("body").to_pylist():
+                each = digests(body, words)
+                grams = np.unique(each)
+                fps.append(majority(each))
                 whole.append(xxhash.xxh3_128_hexdigest(grams.tobytes()))
                 sig = signature(grams) if len(grams) else grams
                 sigs.append((sig >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 bands = [xxhash.xxh64_intdigest(sig[k : k + ROWS].tobytes(), k) for k in range(0, len(sig), ROWS)]
                 keys.append(np.array(bands, np.uint64).view(np.int64))
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "whole": whole, "sig": sigs, "keys": keys})
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield extended(batch, ["id"], fp=fp, whole=pa.array(whole, pa.string()), sig=pa.array(sigs, pa.list_(pa.int32())), keys=pa.array(keys, pa.list_(pa.int64())))
 
-    return bodies(docs, id_col, text_col).mapInPandas(run, "id long, whole string, sig array<int>, keys array<long>")
+    return bodies(docs, id_col, text_col).mapInArrow(run, "id long, fp long, whole string, sig array<int>, keys array<long>")
 
 
 def sets(bodies: DataFrame, words: int = WORDS) -> DataFrame:
     """id, whole, grams: the shingle sets themselves."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            grams = [shingles(bytes(x), words) for x in batch["body"]]
-            yield pd.DataFrame({"id": batch["id"], "whole": [xxhash.xxh3_128_hexdigest(g.tobytes()) for g in grams], "grams": [g.view(np.int64) for g in grams]})
+            grams = [shingles(x, words) for x in batch.column("body").to_pylist()]
+            whole = [xxhash.xxh3_128_hexdigest(g.tobytes()) for g in grams]
+            yield extended(batch, ["id"], whole=pa.array(whole, pa.string()), grams=pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())))
 
-    return bodies.mapInPandas(run, "id long, whole string, grams array<long>")
+    return bodies.mapInArrow(run, "id long, whole string, grams array<long>")
 
 
 def bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,26 +117,30 @@ def verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame
     return both.filter(shared / (F.size("ga") + F.size("gb") - shared) >= similarity).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """One row per input row: id, component_id (smallest id that links reach).
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float, words: int, propose: Callable[[DataFrame], DataFrame], work: Workspace) -> DataFrame:
+    """One row per input row: id, fp, component_id (smallest id that links reach).
 
     Two rows are linked if the Jaccard similarity of their shingle sets is at least `similarity`, which should not be
-    below 0.8. Null and empty texts have equal sets. Rows with a null id take part with the smallest other id of their
-    shingle set, or null where there is none. Repeated rows give repeated rows. An empty table gives an empty result.
+    below 0.8. propose takes node, fp (distinct fingerprints) and gives pairs a, b of nodes besides those of the bands.
+    Null and empty texts have equal sets. Rows with a null id take part with the smallest other id of their shingle set,
+    or null where there is none. Repeated rows give repeated rows. An empty table gives an empty result.
     """
-    work = Workspace(docs.sparkSession)
     rows = work.keep(sketches(docs, id_col, text_col, words), "sketches")
-    nodes = work.keep(rows.filter("id IS NOT NULL").groupBy("whole").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "sets")
+    nodes = work.keep(rows.filter("id IS NOT NULL").groupBy("whole").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "sets")
     # An id with several texts stands for several sets, so nodes are numbered apart from ids.
     nodes = work.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = nodes.select("node", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1").select("key", "low")
     members = work.keep(bands.join(shared, "key"), "members")
-    open_nodes = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "whole")
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    alike = nodes.select("fp", F.col("node").alias("b")).join(heads.select("fp", F.col("node").alias("a")), "fp").filter("a <> b").select("a", "b")
+    proposed = work.keep(propose(heads).select("a", "b").union(alike), "proposed")
+    wanted = members.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct()
+    open_nodes = nodes.join(wanted, "node", "left_semi").select("node", "id", "whole")
     texts = bodies(docs, id_col, text_col).join(open_nodes.select("id").distinct(), "id", "left_semi")
     grams = work.keep(sets(texts, words).join(open_nodes, ["id", "whole"]).dropDuplicates(["node"]).select("node", "grams"), "grams")
 
-    stars = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    stars = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).union(proposed).distinct()
     first = work.keep(verified(stars, grams, similarity), "stars")
     label = components(first, work)
     placed = work.keep(members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
@@ -138,4 +158,4 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labelled = nodes.join(label, "node", "left").select("whole", "id", F.coalesce("label", "node").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     named = work.keep(labelled.join(smallest, "label").select("whole", "component_id"), "named")
-    return rows.select("id", "whole").join(named, "whole", "left").select(F.col("id").alias(id_col), "component_id")
+    return rows.select("id", "fp", "whole").join(named, "whole", "left").select("id", "fp", "component_id")

@@ -1,12 +1,18 @@
 """Near-duplicates by SimHash: exact comparison of all fingerprints, tile by tile.
 
-Fingerprints within `radius` bits agree on at least one of radius + 1 segments of the 64 bits, so tiles whose segments
-all differ hold no link, and each segment value is a row of tiles of its own. A row of up to `TILE` fingerprints is one
-tile; longer ones are cut by population count, and within one count by a hash. Two tiles meet only if their population
-counts are at most the radius apart. Inside, numpy takes exclusive-or and bit counts of all pairs.
-
-A tile pair passes on a star for each of its linked groups, not its pairs. The stars of all tiles join to components
-by repeated minimum labels with pointer jumping, each round written to the shared folder.
+Fingerprints stand in the order of their population counts and are cut into tiles of `SIDE`. Two tiles meet only if
+their population counts are at most the radius apart; then numpy takes exclusive-or and bit counts of all their pairs.
+That alone would let half of all pairs meet, so it is done within segments: fingerprints within `radius` bits agree on
+at least one of radius + 1 segments of the 64 bits, and each segment value has its own row of tiles. Rows of more than
+`TILE` fingerprints are dealt out to several tasks, again by population count, and within one count by a hash.
+
+A task passes on a star for each linked group of a tile row, not its pairs. The stars join to components by repeated
+minimum labels with pointer jumping, each round written to the shared folder.
+
+A few bits find texts that differ in some words of a hundred. `near_groups` with a `similarity` asks for more: two texts
+are linked if their sets of word shingles have that Jaccard similarity, which at 0.8 leaves some ten differing bits, too
+many for tiles to be skipped by. There fingerprints propose links together with shared bands of the sets (`shingle_sets`),
+and the whole sets decide.
 """
 
 from __future__ import annotations
@@ -15,17 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, by_value, partitions
+from .common import Workspace, bounded_batches, by_value, components, extended, partitions
 
 by_value(__name__)
 
 RADIUS = 4
 WORDS = 4
 SEED = 42
-TILE = 1024
+TILE, SIDE = 1024, 64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BLOCK = 4096
 
@@ -56,13 +63,13 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS
     """id, fp: the fingerprint's bits as a signed long."""
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(bytes(x), words) for x in batch["body"]], dtype=np.uint64)
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "fp": fps.view(np.int64)})
+            fps = np.array([fingerprint(x, words) for x in batch.column("body").to_pylist()], dtype=np.uint64)
+            yield extended(batch, ["id"], fp=pa.array(fps.view(np.int64)))
 
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
-    return docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body")).mapInPandas(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body")).mapInArrow(run, "id long, fp long")
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -71,21 +78,43 @@ def segments(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def close_pairs(fps: np.ndarray, radius: int, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i < j in population order) of fingerprints at most `radius` bits apart, tile pair by tile pair."""
+    pop = np.bitwise_count(fps)
+    order = np.argsort(pop, kind="stable")
+    fps, pop = fps[order], pop[order].astype(np.int64)
+    first, second = [], []
+    starts = range(0, len(fps), side)
+    for i in starts:
+        most = pop[min(i + side, len(fps)) - 1]
+        for j in range(i, len(fps), side):
+            if pop[j] - most > radius:
+                break  # this tile and all behind it hold too many bits
+            a, b = np.nonzero(np.bitwise_count(fps[i : i + side, None] ^ fps[None, j : j + side]) <= radius)
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            first.append(order[a + i])
+            second.append(order[b + j])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *first]), np.concatenate([none, *second])
+
+
 def stars(fps: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Groups of fingerprints linked within one tile or tile pair: of each group the smallest node with each other one."""
-    close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-    if np.count_nonzero(close) == len(fps):
+    """Groups of fingerprints linked within one row of tiles: of each group the smallest node with each other one."""
+    a, b = close_pairs(fps, radius)
+    if not len(a):
         return nodes[:0], nodes[:0]
-    linked = np.flatnonzero(close.sum(1) > 1)
-    close, own = close[np.ix_(linked, linked)], nodes[linked]
-    label = own.copy()
+    label = nodes.copy()
     while True:
-        lower = np.where(close, label[None, :], np.iinfo(np.int64).max).min(1)
-        if (lower == label).all():
+        lower = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, lower)
+        np.minimum.at(after, b, lower)
+        if (after == label).all():
             break
-        label = lower
-    member = label != own
-    return label[member], own[member]
+        label = after
+    member = label != nodes
+    return label[member], nodes[member]
 
 
 def links(nodes: DataFrame, radius: int, tile: int, work: Workspace) -> DataFrame:
@@ -141,34 +170,30 @@ def links(nodes: DataFrame, radius: int, tile: int, work: Workspace) -> DataFram
     return dealt.select("node", "fp", "key").mapInPandas(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, work: Workspace) -> DataFrame:
-    """node, label: for each node of an edge the smallest node of its component."""
-    both = work.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    label = work.keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "label0")
-    level = 0
-    while True:
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        hooked = label.join(near.select(F.col("a").alias("node"), "near"), "node", "left").select("node", F.least("label", "near").alias("up"), F.col("label").alias("was"))
-        hooked = work.keep(hooked, f"hooked{level}")
-        jumped = hooked.join(hooked.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.least("up", "top").alias("label"), "was")
-        jumped = work.keep(jumped, f"label{level + 1}")
-        changed = not jumped.filter(F.col("label") != F.col("was")).isEmpty()
-        work.drop(f"hooked{level}", f"label{level}")
-        label, level = jumped.select("node", "label"), level + 1
-        if not changed:
-            return label
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS, tile: int = TILE) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id that links reach).
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a null id take part with the
     smallest other id of their fingerprint, or null where there is none. Repeated rows give repeated rows. An empty
     table gives an empty result; other columns are ignored.
+
+    With a `similarity` of 0.8 or more, texts are linked by the Jaccard similarity of their sets of word shingles and
+    not by bits alone. Texts without words have equal sets; rows with a null id then take part with the smallest other
+    id of their set.
     """
     work = Workspace(docs.sparkSession)
+    if similarity is not None:
+        from .shingle_sets import similar_groups
+
+        propose = lambda fps: links(fps, radius, tile, work)
+        out = similar_groups(docs, id_col, text_col, similarity, words, propose, work)
+        return out.select(F.col("id").alias(id_col), hex_of("fp").alias("fingerprint"), "component_id")
     fps = work.keep(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = work.keep(fps.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
     label = components(work.keep(links(nodes.filter(F.col("node").isNotNull()), radius, tile, work), "links"), work)
     named = work.keep(nodes.join(label, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id")), "named")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named, "fp").select(F.col("id").alias(id_col), hex_of("fp").alias("fingerprint"), "component_id")
+
+
+def hex_of(column: str) -> Column:
+    return F.lower(F.lpad(F.hex(column), 16, "0"))

@@ -14,11 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_value
+from .common import bounded_batches, by_value, extended
 
 by_value(__name__)
 
@@ -301,7 +301,12 @@ def train(texts: list[str], labels: np.ndarray, updates: int = UPDATES, seed: in
 
 
 def learn(docs: DataFrame, labels: DataFrame, trained: Column, id_col: str, text_col: str, label_col: str, sample: dict[int, int] | None = None) -> Network:
-    """A network from about `sample` labelled documents of each label where `trained` holds, a bound that no table size moves."""
+    """A network from about `sample` labelled documents of each label where `trained` holds, a bound that no table size moves.
+
+    Labels that are null or not 0 or 1 and labels without a document are left out; a repeated label counts once, a
+    repeated document or one with both labels as often as it stands there. Null texts train as empty ones. Without
+    both labels, or without any row, the network gives every text the one label, or 0.
+    """
     sample = sample or SAMPLE_PER_LABEL
     marks = labels.filter(trained & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -322,22 +327,24 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     """
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(network)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "score": scorer.score(batch["text"].tolist())})
+            yield extended(batch, ["id"], score=pa.array(scorer.score(batch.column("text").to_pylist())))
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, score double")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
     return out.withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, network: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text scores below the threshold."""
-    bounded_batches(docs.sparkSession)
+    """The rows, with all their columns, whose text scores below the threshold.
 
-    def run(batches):
-        import pyarrow as pa
+    Null and empty texts stay, unless all training documents are toxic; repeated rows share their fate; a score at the
+    threshold goes. An empty table gives an empty result.
+    """
+    bounded_batches(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(network)
         for batch in batches:
             found = scorer.score(batch.column(text_col).to_pylist())

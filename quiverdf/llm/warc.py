@@ -17,7 +17,7 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +39,11 @@ MANIFEST = "bundle string, records long, frames long, bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
+def arrow_rows(rows: list[dict], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.RecordBatch.from_pylist(rows, pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]))
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
@@ -173,7 +178,7 @@ def open_bundle(path: str) -> BundleReader:
 def with_responses(pages: DataFrame, work: Workspace, id_col: str = "page_id", payload_col: str = "html", least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """Adds refers_to: the smallest id with an equal payload, null for that row itself and payloads under `least` bytes."""
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col("url").alias("url"), body.alias("payload")).withColumn("key", F.sha2("payload", 256))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url").alias("url"), body.alias("payload")).withColumn("key", F.sha2("payload", 256))
     first = rows.filter(F.octet_length("payload") >= least).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     first = work.keep(first.filter("n > 1").select("key", "first"), "responses")
     refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
@@ -184,7 +189,7 @@ def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
     """Writes page_id, url, payload, refers_to; gives the manifest, which must be kept before it is used."""
     bounded_batches(rows.sparkSession)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
@@ -196,46 +201,41 @@ def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
             listed.append((name, n, len(writer.frames), writer.raw))
 
         for batch in batches:
-            for page_id, url, payload, refers_to in zip(*(batch[c].tolist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
+            for page_id, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
                 if writer is None:
                     file = f"part-{TaskContext.get().partitionId():06d}-{len(listed):04d}-{uuid.uuid4().hex}.warc.zst"
                     name, n, writer = f"{folder}/{file}", 0, BundleWriter(store.open_output_stream(f"{base}/{file}", compression=None), frame_bytes)
-                page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
-                writer.add(page_id, record(page_id, url, bytes(payload), refers_to))
+                writer.add(page_id, record(page_id, url, payload, refers_to))
                 n += 1
                 if writer.raw >= bundle_bytes:
                     done()
                     writer = None
         if writer is not None:
             done()
-        yield pd.DataFrame(listed, columns=["bundle", "records", "frames", "bytes"])
+        yield arrow_rows([dict(zip(("bundle", "records", "frames", "bytes"), x, strict=True)) for x in listed], MANIFEST)
 
     whole = rows.select("page_id", "url", "payload", "refers_to")
-    return whole.mapInPandas(run, MANIFEST)
+    return whole.mapInArrow(run, MANIFEST)
 
 
 def read_bundles(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """All records of the bundles listed."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch["bundle"]:
+            for path in batch.column("bundle").to_pylist():
                 rows: list[dict] = []
                 held = 0
                 for found in open_bundle(path):
                     held += len(found["payload"] or b"")
                     rows.append(found if payloads else found | {"payload": None})
                     if held >= 8 << 20 or len(rows) >= 5000:
-                        yield frame(rows)
+                        yield arrow_rows(rows, RECORDS)
                         rows, held = [], 0
                 if rows:
-                    yield frame(rows)
-
-    def frame(rows: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(rows)
-        return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield arrow_rows(rows, RECORDS)
 
-    return manifest.select("bundle").mapInPandas(run, RECORDS)
+    return manifest.select("bundle").mapInArrow(run, RECORDS)
 
 
 def archive(pages: DataFrame, folder: str | None = None, payloads: bool = True) -> DataFrame:

@@ -19,10 +19,21 @@ def test_exact_groups_match_brute_force(spark):
     for text, ids in groups.items():
         top = max((i for i in ids if i is not None), default=None)
         for i in ids:
-            want[(i, top, len(ids), i == top, hashlib.sha256(text.encode()).hexdigest())] += 1
+            # Of rows that tie on id and text one stays.
+            first = i == top and not want[(i, top, len(ids), True, hashlib.sha256(text.encode()).hexdigest())]
+            want[(i, top, len(ids), first, hashlib.sha256(text.encode()).hexdigest())] += 1
+    want = +want
     for width in (4, 64):
         got = Counter(tuple(r) for r in exact_dedup.exact_groups(frame(spark), first_bytes=width).collect())
         assert got == want
+        assert sum(n for k, n in got.items() if k[3]) == len(groups)
+
+
+def test_exact_groups_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "REPEATS", 4)
+    data = [(7, "same") + (None,) * 14] * 11 + [(None, None) + (None,) * 14] * 4 + [(1 << 60 | 1, "same") + (None,) * 14]
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(frame(spark, data=data)).collect())
+    assert got == {(7, 1 << 60 | 1, 12, False): 11, (1 << 60 | 1, 1 << 60 | 1, 12, True): 1, (None, None, 4, True): 1, (None, None, 4, False): 3}
 
 
 def test_exact_groups_of_nothing(spark):

@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 from quiverdf.llm import mixing, toxicity
 from quiverdf.llm.common import Workspace, crc_of, table
 
-from .test_dedup import brute_fingerprint, components
+from .data import frame
+from .test_shingle_sets import wanted
 
 DATA = "/root/testdata/sf0.001"
 
@@ -33,10 +34,8 @@ def test_stages(spark):
     assert set(kept) == set(top.values()) and distinct.columns == docs.columns
 
     near = work.keep(stages["near_dedup"](spark, distinct, DATA), "c")
-    fps = {k: brute_fingerprint(r["text"]) for k, r in kept.items()}
-    root = components([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4], fps)
     left = {r["doc_id"] for r in near.collect()}
-    assert left == set(root.values()) and near.columns == docs.columns
+    assert left == set(wanted({k: r["text"] for k, r in kept.items()}).values()) and near.columns == docs.columns
 
     mixed = work.keep(stages["mixing"](spark, near, DATA), "d")
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(near).collect() if r["copies"]}
@@ -54,6 +53,41 @@ def test_stages(spark):
     assert max(filled.values()) <= 2048
 
 
+BIG = (1 << 60) + 1
+
+
+def test_awkward_rows_go_through_all_stages(spark):
+    """Null, repeated and large ids, repeated rows, null texts and columns with clashing names."""
+    import corpus_pipeline as p
+
+    work, stages = Workspace(spark), dict(p.STAGES)
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    few = [(None, text(1)), (None, text(1)), (5, text(2)), (5, text(2)), (5, text(3)), (BIG, text(4)), (BIG + 2, text(4)), (None, text(5)), (9, None), (10, ""), (11, text(5))]
+    docs = frame(spark, data=[(i, t, "en", "s", None) + ("clash",) * 11 for i, t in few])
+    plain = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+    clean = work.keep(stages["toxicity"](spark, docs, DATA), "a")
+    assert plain(clean) == Counter(few)
+    one = work.keep(stages["exact_dedup"](spark, clean, DATA), "b")
+    want = Counter({(None, text(1)): 1, (5, text(2)): 1, (5, text(3)): 1, (BIG + 2, text(4)): 1, (11, text(5)): 1, (10, ""): 1})
+    assert plain(one) == want and one.columns == docs.columns
+    near = work.keep(stages["near_dedup"](spark, one, DATA), "c")
+    assert plain(near) == want and near.columns == docs.columns
+    again = work.keep(stages["near_dedup"](spark, docs, DATA), "again")
+    assert sorted(Counter(t or "" for _, t in plain(again).elements()).values()) == [1] * 6
+    assert {i for i, t in plain(again) if t == text(4)} == {BIG} and {i for i, t in plain(again) if t == text(5)} == {11}
+    mixed = work.keep(stages["mixing"](spark, near, DATA), "d")
+    copies = Counter()
+    for (i, t), n in plain(mixed).items():
+        assert (i, t) in want and n <= 3
+        copies[i] += n
+    assert mixed.columns == docs.columns and abs(sum(copies.values()) - len(want)) <= 1
+    pieces = stages["packing"](spark, mixed, DATA).collect()
+    assert Counter({i: len({x["row"] for x in pieces if x["doc_id"] == i}) for i in copies}) == copies
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+
+
 def test_run_is_its_stages(spark):
     import corpus_pipeline as p
 

@@ -2,14 +2,14 @@
 
 import random
 
-from quiverdf.llm import jaccard_dedup
+from quiverdf.llm import shingle_sets, simhash_dedup
 
 from .data import frame, rows, words
 from .test_dedup import components
 
 
 def grams(text):
-    tokens = (text or "").encode().translate(jaccard_dedup.LOWER).split()
+    tokens = (text or "").encode().translate(shingle_sets.LOWER).split()
     n = max(len(tokens) - 4, 1)
     return {b" ".join(tokens[i : i + 5]) for i in range(n)} if tokens else set()
 
@@ -53,10 +53,10 @@ def test_similar_groups_match_brute_force(spark):
     texts = {r[0]: r[1] for r in rows() if r[0] is not None}
     texts |= {1000 + k: t for k, t in enumerate(planted())}
     data = [(k, t, None, None, None) + ("clash",) * 11 for k, t in texts.items()]
-    got = {r["doc_id"]: r["component_id"] for r in jaccard_dedup.similar_groups(frame(spark, data=data)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_groups(frame(spark, data=data), words=5, similarity=0.8).collect()}
     assert got == wanted(texts)
-    assert jaccard_dedup.similar_groups(frame(spark)).count() == len(rows())
-    assert jaccard_dedup.similar_groups(frame(spark, data=[])).count() == 0
+    assert simhash_dedup.near_groups(frame(spark), words=5, similarity=0.8).count() == len(rows())
+    assert simhash_dedup.near_groups(frame(spark, data=[]), words=5, similarity=0.8).count() == 0
 
 
 def test_near_stage_drops_planted_copies(spark):

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -77,6 +78,40 @@ def test_cuts_cost_least():
             assert cost(got) == best
 
 
+def test_cuts_at_powers_of_two_cost_least():
+    """Sequences of a power of two need no padding, the shortest of them included."""
+    r = np.random.default_rng(8)
+    low = packing.SHORTEST_UNPADDED
+    for _ in range(60):
+        n = int(r.integers(2, 10))
+        p = np.concatenate([[0], np.cumsum(r.choice([low // 2, low, 2 * low, 37, 511], n))])
+        c = np.append(0, r.integers(0, 90, n))
+        longest = 4 * low
+        if np.diff(p).max() > longest:
+            continue
+
+        def cost(cuts, p=p, c=c):
+            sizes = [int(p[j] - p[i]) for i, j in zip([0, *cuts], cuts)]
+            price = lambda x: min(longest - x, packing.SHORT_COST) if x >= low and x & (x - 1) == 0 else longest - x
+            return sum(price(x) + int(c[j]) for x, j in zip(sizes, cuts))
+
+        every = ([k + 1 for k in range(n - 1) if mask >> k & 1] + [n] for mask in range(1 << (n - 1)))
+        best = min(cost(cuts) for cuts in every if all(p[j] - p[i] <= longest for i, j in zip([0, *cuts], cuts)))
+        where = {int(x): k for k, x in enumerate(p)}
+        assert cost([where[x] for x in packing.best_cuts(p, c, longest)]) == best
+
+
+def test_partition_ends_are_packed_together(spark):
+    r = random.Random(3)
+    data = [(k, words(r, r.randrange(20, 400)), None, None, None) + (None,) * 11 for k in range(400)]
+    counts = {}
+    for parts in (1, 60):
+        got = packing.pack(frame(spark, parts, data), tokenizer_path()).collect()
+        counts[parts] = len({x["sequence_id"] for x in got})
+        assert len({x["row"] for x in got}) == len(data)
+    assert counts[60] <= 1.05 * counts[1] + 1
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
@@ -113,6 +148,44 @@ def test_mix_meets_targets(spark, block):
         assert abs(taken[s] - t) <= max(60, 0.05 * t)
 
 
+def test_copies_are_those_of_systematic_sampling(spark):
+    """Copies recomputed by hand: one offset a source, whole numbers crossed, long documents first."""
+    r = random.Random(4)
+    sizes = [(k, words(r, r.choice([3, 20, 20, 400])), None, r.choice("abc"), None) + (None,) * 11 for k in range(300)]
+    docs = frame(spark, data=sizes)
+    got = {x["doc_id"]: x for x in mixing.mix(docs).collect()}
+    spots = {x[0]: x[1] for x in docs.selectExpr("doc_id", f"xxhash64(doc_id, text, {mixing.SEED})").collect()}
+    draws = {x[0]: x[1] for x in spark.createDataFrame([(c,) for c in "abc"], "key string").selectExpr("key", f"pmod(xxhash64(key, false, {mixing.SEED + 1}), {1 << 20}) / {float(1 << 20)}D").collect()}
+    for source in "abc":
+        own = [k for k in got if got[k]["__source"] == source]
+        target, total = got[own[0]]["target"], got[own[0]]["source_size"]
+        left = target
+
+        def sample(ids, rate, offset=draws[source]):
+            ids = sorted(ids, key=lambda k: (got[k]["size"], spots[k]))
+            return {k: math.floor((n + 1) * rate + offset) - math.floor(n * rate + offset) for n, k in enumerate(ids)}
+
+        long = [k for k in own if got[k]["size"] * mixing.FINE > target]
+        want = sample(long, target / total)
+        left -= sum(n * got[k]["size"] for k, n in want.items())
+        others = [k for k in own if k not in want]
+        want |= sample(others, max(0.0, min(3.0, left / max(1, sum(got[k]["size"] for k in others)))))
+        assert {k: got[k]["copies"] for k in own} == want
+
+
+def test_mix_of_many_sources(spark):
+    """More sources than partitions, null ids and repeated rows."""
+    r = random.Random(6)
+    sizes = [(None, "a b c d", None, "s1", None) + (None,) * 11] * 40 + [(k, words(r, r.randrange(1, 30)), None, f"h{r.randrange(80)}", None) + (None,) * 11 for k in range(400)]
+    got = mixing.mix(frame(spark, data=sizes), block_rows=7).collect()
+    total = Counter()
+    for x in sizes:
+        total[x[3]] += len(x[1].split())
+    target = brute_targets(total)
+    assert len(got) == len(sizes) and all(x["target"] == pytest.approx(target[x["__source"]]) for x in got)
+    assert abs(sum(x["taken"] for x in got if x["doc_id"] is None) - target["s1"]) <= 8
+
+
 def test_mix_of_awkward_rows(spark):
     assert mixing.mix(frame(spark)).count() == len(rows())
     assert mixing.mix(frame(spark, data=[])).count() == 0
