@@ -9,43 +9,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverdf.llm import exact_dedup, jaccard_dedup, mixing, packing, toxicity
-from quiverdf.llm.common import Workspace, crc_of, table
+from quiverdf.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
+from quiverdf.llm.common import Workspace, crc_of, numbered, table
 from quiverdf.llm.queries import tokenizer_path
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids in dropped; rows with a null id stay."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Numbered rows without those whose number is in dropped, and without the number."""
+    return rows.join(dropped.select("__row").distinct(), "__row", "left_anti").drop("__row")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score as toxic; the network learns from the labelled documents of the input tables."""
+    """Drops documents that score as toxic; the network learns from the labelled documents of the input tables.
+
+    Null and empty texts stay; repeated rows share their fate; ids play no part but in the choice of training rows.
+    """
     network = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_of("doc_id") % 5 != 0, "doc_id", "text", "toxic")
     return toxicity.keep_clean(docs, network)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keeps the document with the largest id."""
-    groups = Workspace(spark).keep(exact_dedup.exact_groups(docs).filter(~F.col("kept")).select("doc_id"), "dropped")
-    return without(docs, groups)
+    """Of equal texts keeps exactly one row, that with the largest id; null counts as the empty text.
+
+    A null id is smaller than every other; of equal ids the later row stays. Other texts of a dropped row's id stay.
+    """
+    work = Workspace(spark)
+    rows = numbered(docs, work)
+    key = rows.select(F.struct("doc_id", "__row").alias("key"), "text")
+    dropped = exact_dedup.exact_groups(key, "key").filter(~F.col("kept")).select("key.__row")
+    return without(rows, work.keep(dropped, "dropped"))
 
 
 def distinct_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (shingles of five words, Jaccard similarity of 0.8 or more) keeps the document with the smallest id."""
-    groups = jaccard_dedup.similar_groups(docs, similarity=0.8, words=5).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return without(docs, Workspace(spark).keep(groups, "dropped"))
+    """Of each group of near-duplicates keeps exactly one row, that with the smallest id.
+
+    Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; texts without a
+    word, null ones too, are one group. Of equal ids the earlier row stays; a null id comes after all others.
+    """
+    work = Workspace(spark)
+    rows = numbered(docs, work)
+    groups = work.keep(simhash_dedup.near_groups(rows.select("__row", "text"), "__row", words=5, similarity=0.8).select("__row", "component_id"), "groups")
+    keyed = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")).alias("key")).join(groups, "__row")
+    stays = keyed.groupBy("component_id").agg(F.min("key").getField("row").alias("stays"))
+    return without(rows, work.keep(keyed.join(stays, "component_id").filter("__row <> stays").select("__row"), "dropped"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that sources have their target shares; copies keep their document's columns."""
-    copies = mixing.mix(docs).filter(F.col("copies") > 0).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    copies = Workspace(spark).keep(copies, "copies")
-    taken = docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    """Repeats or drops rows so that sources have their target shares; copies keep their row's columns.
+
+    Each row has copies of its own, so null and repeated ids are rows like others. Texts without a word count nothing
+    towards a target and are taken like others of their source.
+    """
+    work = Workspace(spark)
+    rows = numbered(docs, work)
+    copies = mixing.mix(rows.select("__row", "text", "source"), "__row").filter(F.col("copies") > 0).select("__row", "copies")
+    taken = rows.join(work.keep(copies, "copies"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in sequences of 2048 tokens; a row without text is one closing token, copies are rows of their own."""
     return packing.pack(docs, tokenizer_path())
 
 
