@@ -7,8 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from quiverdf.llm import imatch, language_id, mixing, packing, pii, toxicity
+from quiverdf.llm.common import Workspace
 from quiverdf.llm.queries import tokenizer_path
 
 from .data import frame, rows, words
@@ -219,9 +221,76 @@ def test_fingerprints_of_edits(spark):
 
 def test_next_blocks(spark):
     blocks = sorted(random.Random(3).sample(range(-5000, 5000), 60))
-    df = spark.createDataFrame([(b, b * 10) for b in blocks], "block long, top long")
-    got = {r["block"]: r["lower_block"] for r in imatch.next_ids(df, base=16).collect()}
-    assert got == dict(zip(blocks, [None, *blocks]))
+    df = spark.createDataFrame([(b,) for b in blocks], "block long")
+    got = {r["block"]: r["after"] for r in imatch.following(df, Workspace(spark)).collect()}
+    assert got == dict(zip(blocks, [*blocks[1:], blocks[0]]))
+
+
+def folded(values, seed=42):
+    """The hash of several longs in a row: each hash is the next one's seed."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    return seed
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_print(text, lexicon):
+    terms = {w for w in re.split(imatch.NOT_TERM, text.lower()) if w}
+    own = sorted(t for t in (signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in terms) if t in lexicon)
+    out = []
+    for draw in range(imatch.DRAWS):
+        k, d = divmod(draw, 8)
+        hashes = own if k == 0 else [signed(xxhash.xxh64_intdigest(k.to_bytes(4, "little"), folded([t]))) for t in own]
+        for level in range(1, imatch.LEVELS + 1):
+            subset = [h for h in hashes if (h >> (64 - 8 * d - level)) & ((1 << level) - 1) == 0]
+            if own:
+                out.append(folded(subset) & 0xFFFF | 1 if subset else 0)
+            else:
+                sha = hashlib.sha256(text.encode()).hexdigest().encode()
+                number = draw * imatch.LEVELS + level - 1
+                out.append(xxhash.xxh64_intdigest(number.to_bytes(4, "little"), xxhash.xxh64_intdigest(sha, 42)) & 0xFFFF | 1 if text else 0)
+    return out
+
+
+def brute_likeness(a, b):
+    if not any(a) and not any(b):
+        return 1.0
+    shares = []
+    for level in range(-1, imatch.LEVELS):
+        own = [(x, y) for n, (x, y) in enumerate(zip(a, b)) if (x or y) and level in (-1, n % imatch.LEVELS)]
+        if len(own) >= (1 if level < 0 else 2):
+            shares.append(sum(x == y for x, y in own) / len(own))
+    return max(shares)
+
+
+def test_fingerprints_match_brute_force(spark, monkeypatch):
+    """Lexicon, subsets, hashes and likeness anew; hot blocks cut by digests, null and repeated ids included."""
+    monkeypatch.setattr(imatch, "HOT_BLOCK", 8)
+    monkeypatch.setattr(imatch, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(imatch, "BAND", (0.02, 0.3))
+    r = random.Random(11)
+    data = [(i, words(r, r.choice([0, 3, 40, 200]))) + ("x",) * 14 for i in [*range(30), *[7] * 12, *[None] * 14, 1 << 60, -(1 << 61)]]
+    data = [(x[0], x[1], None, None, None) + x[5:] for x in data]
+    got = imatch.fingerprints(frame(spark, data=data))
+    n = len(data)
+    df = Counter(w for x in data for w in {w for w in re.split(imatch.NOT_TERM, x[1].lower()) if w})
+    lexicon = {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w, c in df.items() if 0.002 * n <= c < 0.05 * n}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    order = sorted(((x[0], x[1]) for x in data), key=lambda x: sha(x[1]), reverse=True)
+    order.sort(key=lambda x: (x[0] is None, -(x[0] or 0)))
+    text = lambda p: "".join(f"{x:04x}" for x in p)
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % n][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, b, c = (brute_print(x, lexicon) for x in (t, edited, after))
+        want[(i, len(t), sha(edited), text(a), text(b), round(brute_likeness(a, b), 9), round(brute_likeness(a, c), 9))] += 1
+    have = Counter((*list(x)[:5], round(x["near_edited"], 9), round(x["near_next"], 9)) for x in got.collect())
+    assert have == want
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
