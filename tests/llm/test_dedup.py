@@ -98,6 +98,17 @@ def test_links_of_full_tiles_are_exact(spark):
         assert {n: got.get(n, n) for n in want} == want
 
 
+def test_close_pairs_skip_no_link():
+    r = np.random.default_rng(5)
+    fps = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+    fps[100:] = fps[r.integers(0, 100, 200)] ^ (np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64))
+    fps = np.concatenate([fps, np.array([0, (1 << 64) - 1, 7], np.uint64)])
+    for side in (1, 5, 64, 1000):
+        a, b = simhash_dedup.close_pairs(fps, 4, side)
+        want = {(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4}
+        assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())} == want and len(a) == len(want)
+
+
 def brute_repeats(data):
     seen, out = {}, Counter()
     for r in sorted(data, key=lambda r: -1 if r[0] is None else r[0]):
@@ -123,6 +134,23 @@ def test_repeats_match_brute_force(spark):
     assert substring_dedup.remove_repeats(frame(spark, data=[])).count() == 0
 
 
+def test_repeats_of_rows_with_one_id(spark):
+    """Other texts of an id count too, and rows of one id are no earlier than each other."""
+    a, b = "abcdefghij" * 6, "0123456789" * 7
+    data = [(1, a), (1, "short"), (1, b + "x"), (2, a), (2, b), (3, a + b), (None, b + "y"), (None, b + "y"), (3, a + b), (1 << 60, "z" + a), ((1 << 60) + 1, b)]
+    data = [x + (None,) * 14 for x in data]
+    for parts in (1, 5):
+        assert Counter(tuple(r) for r in substring_dedup.remove_repeats(frame(spark, parts, data)).collect()) == brute_repeats(data)
+
+
+def test_repeats_in_small_collections(spark, monkeypatch):
+    """Collections that end at every group, columns in files."""
+    monkeypatch.setattr(substring_dedup, "COLLECTION", 1)
+    monkeypatch.setattr(substring_dedup, "IN_MEMORY", 64)
+    data = [r for r in rows() if r[1] is None or len(r[1]) < 2000]
+    assert Counter(tuple(r) for r in substring_dedup.remove_repeats(frame(spark, 3, data)).collect()) == brute_repeats(data)
+
+
 def test_repeats_that_overlap_in_part(spark, monkeypatch):
     r = np.random.default_rng(4)
     line = bytes(r.integers(97, 101, 600).tolist()).decode()
@@ -140,7 +168,8 @@ def test_repeats_that_overlap_in_part(spark, monkeypatch):
 def test_collection_order_is_that_of_sorted_suffixes():
     r = np.random.default_rng(2)
     for _ in range(40):
-        strings = [bytes(r.integers(97, 99, r.integers(0, 12)).tolist()) for _ in range(r.integers(1, 8))]
+        least, most = (97, 99) if r.integers(2) else (254, 256)
+        strings = [bytes(r.integers(least, most, r.integers(0, 12)).tolist()) for _ in range(r.integers(1, 8))]
         owner, length, common = substring_dedup.collection_order(strings)
         got = [strings[o][len(strings[o]) - n :] for o, n in zip(owner, length)]
         want = sorted((s[k:], o) for o, s in enumerate(strings) for k in range(len(s) + 1))
