@@ -69,21 +69,35 @@ class Workspace:
         self.fs.mkdirs(path)
         self.fs.deleteOnExit(path)
         self.paths: dict[str, str] = {}
+        self.made: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a table of its own and read it back."""
-        self.paths[name] = path = f"{self.root}/{len(self.paths)}-{name}-{uuid.uuid4().hex[:8]}"
+        self.paths[name] = path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        self.made.append(path)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
-            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[name]), True)
+            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name)), True)
 
+    def clear(self) -> None:
+        """Drops all tables, once what was made of them has been written elsewhere."""
+        for path in self.made:
+            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        self.paths, self.made = {}, []
 
-def numbered(docs: DataFrame, work: Workspace, name: str = "numbered") -> DataFrame:
-    """The rows with a number of their own (__row), written so that the numbers stay; ids may be null or come again."""
-    return work.keep(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own (__row); ids may be null or come again.
+
+    A scan of files deals the same rows to the same partitions however often it runs, whichever columns it reads, so
+    its numbers stay. The rows of any other plan are written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = Workspace(docs.sparkSession).keep(docs, "rows")
+    return docs.withColumn("__row", F.monotonically_increasing_id())
 
 
 def crc_of(id_col: str):

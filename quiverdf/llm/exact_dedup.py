@@ -22,14 +22,14 @@ GROWTH = 16
 REPEATS = 1 << 16
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_bytes: int = FIRST_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_bytes: int = FIRST_BYTES, work: Workspace | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     keep_id is the largest id of the rows with an equal text and group_size their number. Null counts as the empty
     text. A null id never beats another one. Of rows with that id and text one is `kept`, so of every text exactly one
     row stays. Ids can be of any type that has an order. An empty table gives an empty result; other columns are ignored.
     """
-    work = Workspace(docs.sparkSession)
+    work = work or Workspace(docs.sparkSession)
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
     active = docs.select(F.col(id_col).alias("id"), F.sha2(body, 256).alias("sha"), F.lit(0).cast("long").alias("gid"), body.alias("rest"))
     width, level, done = first_bytes, 0, []

@@ -57,14 +57,14 @@ def source_targets(sizes: DataFrame, work: Workspace, weights=WEIGHTS, most: int
     return share.select("source", "n", "source_size", F.least(F.col("bound"), water).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, block_rows: int = BLOCK_ROWS, work: Workspace | None = None) -> DataFrame:
     """One row per input row: id, source (as __source), size, source_size, target, copies, taken.
 
     Null and empty texts have size 0; a source whose sizes are all 0 has target 0 and takes nothing. A null source is
     a source. Rows that are equal in id, source and text take the copies of their ranks in some order, so that null and
     repeated ids need no care. An empty table gives an empty result; columns of the input with other names play no part.
     """
-    work = Workspace(docs.sparkSession)
+    work = work or Workspace(docs.sparkSession)
     spot = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
     rows = work.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), spot.alias("spot")), "sizes")
     totals = work.keep(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), "totals")

@@ -83,6 +83,19 @@ class WordTokenizer(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.keep:
             self.clear()
+        if word.isascii():
+            # Capitals and one mark at the end leave the ids of what is left as they are.
+            low = word.lower()
+            if low != word:
+                out = self[low]
+                if len(word) <= CACHE_LENGTH:
+                    self[word] = out
+                return out
+            if len(word) > 1 and word[-1] in ".,!?;:" and word[:-1].isalpha():
+                out = self[word[:-1]] + self[word[-1]]
+                if len(word) <= CACHE_LENGTH:
+                    self[word] = out
+                return out
         m = self.PLAIN.fullmatch(word)
         if m:
             parts = [p.lower() for p in m.groups() if p]

@@ -1,10 +1,12 @@
 """Links of texts by the Jaccard similarity of their word shingles, for `simhash_dedup` where a similarity is asked for.
 
 Candidates are pairs that fingerprints propose and pairs that share a MinHash band. A pair at similarity s shares a band
-of `ROWS` hashes with probability s**ROWS; of `BANDS` bands a pair at 0.8 misses all with probability 5e-8. Each
-candidate pair is checked on its whole shingle sets. First each bucket's members are held against its smallest; then
-members of one bucket that are in different components meet each other, so a large group of near copies costs a star
-and not its pairs.
+of `ROWS` hashes with probability s**ROWS; of `BANDS` bands a pair at 0.8 misses all with probability 1e-4, and a pair
+at 0.4 meets in one with probability 0.03. Each candidate pair is checked on its whole shingle sets, in three rounds, of
+which each sees only what the rounds before left in different components: every text with the smallest one that it
+shares a bucket with; the members of every bucket with its smallest, and the pairs that fingerprints propose; and the
+members of a bucket outside its largest component with all others. So a large group of near copies costs a star and not
+its pairs.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ by_value(__name__)
 
 WORDS = 5
 SEED = 42
-ROWS = 4
-BANDS = 32
+ROWS = 8
+BANDS = 50
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BLOCK = 4096
 
@@ -140,21 +142,37 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, similarity: floa
     texts = bodies(docs, id_col, text_col).join(open_nodes.select("id").distinct(), "id", "left_semi")
     grams = work.keep(sets(texts, words).join(open_nodes, ["id", "whole"]).dropDuplicates(["node"]).select("node", "grams"), "grams")
 
-    stars = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).union(proposed).distinct()
-    first = work.keep(verified(stars, grams, similarity), "stars")
-    label = components(first, work)
-    placed = work.keep(members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    apart = placed.join(mixed, "key", "left_semi").join(nodes.select("node", "sig"), "node")
-    side = lambda s: apart.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "sig")])
+    def labelled_by(label: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
+        """rows with label_<name> for each column of nodes: the component, or the node itself."""
+        for name in names:
+            rows = rows.join(label.select(F.col("node").alias(name), F.col("label").alias("__l")), name, "left").withColumn(f"label_{name}", F.coalesce("__l", name)).drop("__l")
+        return rows
+
+    nearest = members.filter("node <> low").groupBy("node").agg(F.min("low").alias("a")).select("a", F.col("node").alias("b"))
+    found = work.keep(verified(nearest, grams, similarity), "nearest")
+    label = components(found, work)
+    stars = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).union(proposed)
+    stars = labelled_by(label, stars, "a", "b").filter("label_a <> label_b").select("a", "b").distinct()
+    more = work.keep(verified(work.keep(stars, "open_stars"), grams, similarity), "stars")
+    found = work.keep(found.union(more), "links2")
+    label = components(found, work)
+
+    placed = work.keep(labelled_by(label, members.select("key", "node"), "node").withColumnRenamed("label_node", "label"), "placed")
+    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).getField("label").alias("main")).filter("labels > 1").select("key", "main")
+    apart = placed.join(main, "key").join(nodes.select("node", "sig"), "node")
+    side = lambda s, rows: rows.select("key", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "sig")])
     # A pair at the similarity agrees in fewer hashes than this with probability under 1e-10.
     n = ROWS * BANDS
     least = int(n * similarity - 7 * math.sqrt(n * similarity * (1 - similarity)))
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
-    pairs = side("a").join(side("b"), "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (agree >= least))
-    second = verified(work.keep(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs"), grams, similarity)
+    once = (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
+    pairs = side("a", apart.filter("label <> main")).join(side("b", apart).drop("main"), "key").filter((F.col("label_a") != F.col("label_b")) & once & (agree >= least))
+    pairs = work.keep(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+    last = work.keep(verified(pairs, grams, similarity), "last")
+    work.drop("grams", "members", "placed")
 
-    label = components(work.keep(first.union(second), "links"), work)
+    label = components(work.keep(found.union(last), "links3"), work)
     labelled = nodes.join(label, "node", "left").select("whole", "id", F.coalesce("label", "node").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     named = work.keep(labelled.join(smallest, "label").select("whole", "component_id"), "named")

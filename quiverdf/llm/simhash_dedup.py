@@ -170,7 +170,7 @@ def links(nodes: DataFrame, radius: int, tile: int, work: Workspace) -> DataFram
     return dealt.select("node", "fp", "key").mapInPandas(run, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS, tile: int = TILE, similarity: float | None = None, work: Workspace | None = None) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id that links reach).
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a null id take part with the
@@ -181,7 +181,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not by bits alone. Texts without words have equal sets; rows with a null id then take part with the smallest other
     id of their set.
     """
-    work = Workspace(docs.sparkSession)
+    work = work or Workspace(docs.sparkSession)
     if similarity is not None:
         from .shingle_sets import similar_groups
 
