@@ -19,6 +19,13 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.join(dropped.select("__row").distinct(), "__row", "left_anti").drop("__row")
 
 
+def settled(work: Workspace, decisions: DataFrame) -> DataFrame:
+    """A stage's decisions, written in a folder of their own; what the operator has written to come to them goes."""
+    kept = Workspace(work.spark).keep(decisions, "decisions")
+    work.clear()
+    return kept
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score as toxic; the network learns from the labelled documents of the input tables.
 
@@ -33,11 +40,10 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A null id is smaller than every other; of equal ids the later row stays. Other texts of a dropped row's id stay.
     """
-    work = Workspace(spark)
-    rows = numbered(docs, work)
+    work, rows = Workspace(spark), numbered(docs)
     key = rows.select(F.struct("doc_id", "__row").alias("key"), "text")
-    dropped = exact_dedup.exact_groups(key, "key").filter(~F.col("kept")).select("key.__row")
-    return without(rows, work.keep(dropped, "dropped"))
+    dropped = exact_dedup.exact_groups(key, "key", work=work).filter(~F.col("kept")).select("key.__row")
+    return without(rows, settled(work, dropped))
 
 
 def distinct_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +52,11 @@ def distinct_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; texts without a
     word, null ones too, are one group. Of equal ids the earlier row stays; a null id comes after all others.
     """
-    work = Workspace(spark)
-    rows = numbered(docs, work)
-    groups = work.keep(simhash_dedup.near_groups(rows.select("__row", "text"), "__row", words=5, similarity=0.8).select("__row", "component_id"), "groups")
-    keyed = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")).alias("key")).join(groups, "__row")
+    work, rows = Workspace(spark), numbered(docs)
+    groups = simhash_dedup.near_groups(rows.select("__row", "text"), "__row", words=5, similarity=0.8, work=work).select("__row", "component_id")
+    keyed = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")).alias("key")).join(work.keep(groups, "groups"), "__row")
     stays = keyed.groupBy("component_id").agg(F.min("key").getField("row").alias("stays"))
-    return without(rows, work.keep(keyed.join(stays, "component_id").filter("__row <> stays").select("__row"), "dropped"))
+    return without(rows, settled(work, keyed.join(stays, "component_id").filter("__row <> stays").select("__row")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +65,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row has copies of its own, so null and repeated ids are rows like others. Texts without a word count nothing
     towards a target and are taken like others of their source.
     """
-    work = Workspace(spark)
-    rows = numbered(docs, work)
-    copies = mixing.mix(rows.select("__row", "text", "source"), "__row").filter(F.col("copies") > 0).select("__row", "copies")
-    taken = rows.join(work.keep(copies, "copies"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    work, rows = Workspace(spark), numbered(docs)
+    copies = mixing.mix(rows.select("__row", "text", "source"), "__row", work=work).filter(F.col("copies") > 0).select("__row", "copies")
+    taken = rows.join(settled(work, copies), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select(*docs.columns)
 
 
