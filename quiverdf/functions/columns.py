@@ -73,6 +73,13 @@ class Scope:
     order: int = 0
     size: int = 0
     rank: Typed | None = None
+    #: Hops from the anchor to the end of `arc`.
+    depth: int = 1
+
+
+def surrogate(id: Column) -> Column:
+    """A number that stands for a vertex wherever one is asked for: the first 60 bits of its internal id."""
+    return F.conv(F.substring(F.md5(id.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def lit(x) -> Typed:
@@ -220,15 +227,26 @@ class Compiler:
                 raise ExpressionError("no arc is known here")
             c = lambda f: F.col(f"{arc}.{f}")
             return {
-                "arc": lambda: Typed(c("rel"), STR), "arc.value": lambda: Typed(c("value"), REAL), "arc.dist": lambda: lit(1), "arc.type": lambda: Typed(c("rel"), STR),
+                "arc": lambda: Typed(c("rel"), STR), "arc.value": lambda: Typed(c("value"), REAL), "arc.dist": lambda: lit(s.depth - 1 if head == "prev" else s.depth), "arc.type": lambda: Typed(c("rel"), STR),
                 "arc.mod": lambda: Typed(F.coalesce(*[F.when(c("mod") == k, F.lit(v)) for k, v in MODS.items()], F.lit(0)).cast("long"), INT),
                 "arc.dir": lambda: Typed(F.coalesce(*[F.when(c("dir") == k, F.lit(v)) for k, v in DIRS.items()], F.lit(0)).cast("long"), INT),
                 "arc.isfwd": lambda: flag(c("dir") == "D_OUT"), "arc.issyn": lambda: flag(c("rel") == "__synthetic__"),
             }[what]()
         at = self.place(head)
         c = lambda f: F.col(f"{at}.{f}")
-        if what in ("", "id", "handle", "address", "enum", "index"):
+        if what in ("", "id"):
             return Typed(c("id"), STR)
+        if what in ("address", "handle", "enum", "index", "bitindex", "bitvector"):
+            number = surrogate(c("id"))
+            if what == "handle":
+                number = number % F.lit(1 << 40) + F.lit(1 << 41)
+            elif what == "enum":
+                number = number.bitwiseAND(F.lit((1 << 31) - 1).cast("long"))
+            elif what == "bitindex":
+                number = F.shiftright(number, 6)
+            elif what == "bitvector":
+                return Typed(F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(F.lit(63).cast("long")).cast("int")), BITS)
+            return Typed(number, INT)
         if what == "internalid":
             return Typed(F.md5(c("id").cast("binary")), STR)
         if what == "type":
@@ -243,10 +261,10 @@ class Compiler:
             return Typed(c("vector"), VEC)
         if what == "propcount":
             return Typed((F.coalesce(F.size(c("num")), F.lit(0)) + F.coalesce(F.size(c("text")), F.lit(0))).cast("long"), INT)
-        if what in ("op", "refc", "bidx", "oidx", "locked", "bitindex"):
-            return lit(0)
-        if what == "bitvector":
-            return Typed(F.xxhash64(c("id")), BITS)
+        if what == "locked":
+            return lit(0)  # DataFrames are never locked
+        if what in ("op", "refc", "bidx", "oidx"):
+            raise ExpressionError(f"{what} tells of the memory of another engine and has no counterpart here")
         if what == "property":
             key = args[0][1] if args and args[0][0] == "str" else None
             if key is None:

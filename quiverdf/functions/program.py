@@ -9,15 +9,21 @@ from __future__ import annotations
 
 import math
 import statistics
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from .columns import CONSTANTS, DBL_MAX, DIRS, EARTH_RADIUS, FLT_MAX, FLT_MIN, LOG_LEAST, MODS
 from .syntax import ExpressionError, read
 
+# Workers take these modules as they are, and need not import the package.
+for _module in ("columns", "syntax", "program"):
+    cloudpickle.register_pickle_by_value(sys.modules[f"{__package__}.{_module}"])
+
 MASK = (1 << 64) - 1
 
 
@@ -26,6 +32,16 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def hashed(x) -> int:
+    """As the column function: XXH64 of a string's bytes or a number's eight."""
+    import struct
+
+    import xxhash
+
+    raw = x.encode() if isinstance(x, str) else struct.pack("<d", x) if isinstance(x, float) else struct.pack("<q", signed(int(x)))
+    return signed(xxhash.xxh64_intdigest(raw, 42))
+
+
 def number(x):
     return x if isinstance(x, (int, float)) and not isinstance(x, bool) else 0
 
@@ -64,7 +80,7 @@ ONE: dict[str, Callable] = {
     "ceil": math.ceil, "floor": math.floor, "round": away, "abs": abs, "sign": lambda x: (x > 0) - (x < 0), "log2": limited(math.log2, LOG_LEAST["log2"]), "log": limited(math.log, LOG_LEAST["log"]), "log10": limited(math.log10, LOG_LEAST["log10"]),
     "exp2": lambda x: 2.0**x, "exp": math.exp, "exp10": lambda x: 10.0**x, "rad": math.radians, "deg": math.degrees, "sin": math.sin, "cos": math.cos, "tan": math.tan, "asin": math.asin, "acos": math.acos, "atan": math.atan,
     "sinh": math.sinh, "cosh": math.cosh, "tanh": math.tanh, "asinh": math.asinh, "acosh": math.acosh, "atanh": math.atanh, "sinc": lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x), "inv": lambda x: 1 / x if x else FLT_MAX,
-    "sq": lambda x: x * x, "sqrt": lambda x: math.sqrt(x) if x >= 0 else 0.0, "popcnt": lambda x: (int(x) & MASK).bit_count(), "int": int, "intr": lambda x: int(away(x)), "real": float, "bits": lambda x: signed(int(x)), "inc": lambda x: x + 1, "dec": lambda x: x - 1, "hash": lambda x: signed(hash(x)),
+    "sq": lambda x: x * x, "sqrt": lambda x: math.sqrt(x) if x >= 0 else 0.0, "popcnt": lambda x: (int(x) & MASK).bit_count(), "int": int, "intr": lambda x: int(away(x)), "real": float, "bits": lambda x: signed(int(x)), "inc": lambda x: x + 1, "dec": lambda x: x - 1, "hash": lambda x: hashed(x),
 }
 
 
@@ -128,7 +144,8 @@ class Program:
         self.local: dict = {}
         self.row: dict = {}
         self.random = np.random.default_rng(seed)
-        self.registers = {f"{p}{k}": slots - k for p in "RC" for k in range(1, 5)}
+        # Registers are the last slots, counted from the end; staging slots count from 0.
+        self.registers = {f"R{k}": -k for k in range(1, 5)} | {f"C{k}": k - 1 for k in range(1, 5)}
 
     def run(self, row: dict):
         """The expression's value for one row; None once halted."""
@@ -283,8 +300,12 @@ class Program:
                 m.slots[k] = total(ONE[bare])(read_(k))
             return len(m.span(*xs))
         if bare in TWO and len(xs) == 3:
+            x = (cast or (lambda x: x))(number(xs[2]))
+            if cast is int and bare in ("div", "mod") and not x:
+                return 0
+            fn = (lambda a, b: a // b) if cast is int and bare == "div" else TWO[bare]  # whole numbers stay whole
             for k in m.span(xs[0], xs[1]):
-                m.slots[k] = TWO[bare](read_(k), number(xs[2]))
+                m.slots[k] = fn(read_(k), x)
             return len(m.span(xs[0], xs[1]))
         if bare[:1] == "v" and bare[1:] in TWO:
             a, b, n = (int(x) for x in xs)
@@ -742,6 +763,10 @@ class Program:
     def do_str(self, n):
         return str(self.args(n)[0])
 
+    def do_isnan(self, n):
+        x = self.args(n)[0]
+        return int(not isinstance(x, (int, float)) or math.isnan(x))
+
     def do_random(self, n):
         return float(self.random.random())
 
@@ -770,6 +795,25 @@ def fold(rows: DataFrame, text: str, order: list[str], slots: int = 128, key: st
     return rows.groupBy(key).applyInPandas(run, f"{key} string, id string, rel string, value double")
 
 
+def evaluate(rows: DataFrame, texts: list[str], key: str = "key", slots: int = 128) -> DataFrame:
+    """key, f, y: for each row and each program its value as a number, each with a fresh memory.
+
+    rows: the key and columns that programs name, dots as in `fold`. Values that are no number give null.
+    """
+    for t in texts:
+        read(t)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                named = {k.replace("_", ".", 1): v for k, v in row.items()}
+                for f, text in enumerate(texts):
+                    y = Program(text, slots).run(named)
+                    out.append((row[key], f, float(y) if isinstance(y, (int, float)) else None))
+            yield pd.DataFrame(out, columns=["key", "f", "y"])
+
+    return rows.mapInPandas(run, "key long, f int, y double")
 
 
-__all__ = ["Memory", "Program", "fold"]
+__all__ = ["Memory", "Program", "evaluate", "fold"]

@@ -6,12 +6,14 @@ module hands back as a list of hops.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.columns import Scope, compile_expression, cosine
+from ..operators.vectors import fingerprint, fingerprint_longs, hamming
 
 COMPARISONS = ("V_LTE", "V_LT", "V_GTE", "V_GT", "V_EQ", "V_NEQ")
 DIRECTIONS = ("D_IN", "D_OUT", "D_ANY", "D_BOTH")
@@ -39,6 +41,8 @@ def compare(x: Column, cond, prev: Column | None = None) -> Column:
             hit = F.startswith(x, F.lit(v[:-1]))
             return hit if op == "V_EQ" else ~hit
         return {"V_LTE": x <= v, "V_LT": x < v, "V_GTE": x >= v, "V_GT": x > v, "V_EQ": x == F.lit(v), "V_NEQ": x != F.lit(v)}[op]
+    if not isinstance(op, str):
+        raise ConditionError(f"unknown value condition {op!r}")
     if op == "V_RANGE":
         return x.between(*v)
     if op == "V_NRANGE":
@@ -77,7 +81,7 @@ class ArcFilter:
         spec = tuple(spec) + (None,) * (5 - len(spec))
         value = None
         if spec[3] is not None:
-            value = (spec[3],) if spec[3] in ("V_DYN_LTE",) else (spec[3], spec[4]) if spec[4] is not None or not str(spec[3]).startswith("V_DYN_") else (spec[3], None)
+            value = (spec[3], spec[4])
         return ArcFilter(spec[0], spec[1] or default, None if spec[2] in (None, "M_ANY") else spec[2], value)
 
     def column(self, arc: str, prev: str | None = None) -> Column:
@@ -90,7 +94,11 @@ class ArcFilter:
             hit = hit & (c("mod") == self.mod)
         if self.value is not None:
             op, v = self.value
-            if isinstance(op, str) and op.startswith("V_DYN_") and prev:
+            if self.mod == "M_LSH" and isinstance(v, tuple) and op not in ("V_RANGE", "V_NRANGE"):
+                # (bits, distance): the condition holds for the number of bits in which the arc's value differs.
+                apart = F.bit_count(c("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(F.lit(int(v[0]) & 0xFFFFFFFF).cast("long")))
+                hit = hit & compare(apart, (op, int(v[1])))
+            elif isinstance(op, str) and op.startswith("V_DYN_") and prev:
                 same = c("mod") == F.col(f"{prev}.mod")
                 old = F.col(f"{prev}.value")
                 plain = op.replace("DYN_", "")
@@ -123,6 +131,12 @@ class VertexCondition:
     post: Column | None = None
     needs_degrees: bool = False
     negated: bool = False
+    #: Whether nothing in it looks back at the path, so that it can be decided for each vertex once.
+    local: bool = True
+    trivial: bool = False
+
+
+LOOKS_BACK = re.compile(r"\b(prev|next|synarc|arc)\b|\.arc\b")
 
 
 def hop_of(spec, semi: bool) -> Hop:
@@ -137,7 +151,7 @@ def vertex_condition(spec, at: str, scope: Scope, now: int = 0) -> VertexConditi
     """spec: None, an id (with * at its end: a prefix), a list of ids, a dictionary, or (False, spec)."""
     c = lambda f: F.col(f"{at}.{f}")
     if spec is None or spec == "*":
-        return VertexCondition(F.lit(True))
+        return VertexCondition(F.lit(True), trivial=True)
     if isinstance(spec, tuple) and len(spec) == 2 and spec[0] is False:
         inner = vertex_condition(spec[1], at, scope, now)
         if inner.hops or inner.degree_hops:
@@ -186,6 +200,12 @@ def vertex_condition(spec, at: str, scope: Scope, now: int = 0) -> VertexConditi
         elif key == "similarity":
             probe = F.array(*[F.lit(float(v)) for v in want["vector"]])
             hit = c("vector").isNotNull()
+            unknown = set(want) - {"vector", "score", "hamdist"}
+            if unknown:
+                raise ConditionError(f"unknown similarity condition {unknown}")
+            if "hamdist" in want:
+                own = F.lit(fingerprint_longs([want["vector"]])[0])
+                hit = hit & compare(hamming(fingerprint(c("vector")), own), want["hamdist"])
             if "score" in want:
                 hit = hit & compare(cosine(c("vector"), probe), want["score"])
         elif key == "property":
@@ -198,9 +218,11 @@ def vertex_condition(spec, at: str, scope: Scope, now: int = 0) -> VertexConditi
                 hit = hit & F.coalesce(compare(x, cond), F.lit(False))
         elif key == "filter":
             hit = compile_expression(want, Scope(**{**scope.__dict__, "vertex": at, "next": None})).truth()
+            out.local = out.local and not LOOKS_BACK.search(want)
             out.needs_degrees = out.needs_degrees or "deg" in want
         elif key == "post":
             out.post = compile_expression(want, Scope(**{**scope.__dict__, "vertex": at, "next": None})).truth()
+            out.local = out.local and not LOOKS_BACK.search(want)
             continue
         elif key == "adjacent":
             out.hops.append(hop_of(want, True))

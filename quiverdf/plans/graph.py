@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,9 @@ def conform(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 class Graph:
     """vertices: one row per id. arcs: one row per (tail, head, rel, mod); parallel rows are a multiple arc.
 
-    property_types says which properties are int, real or str, so that expressions have types before they run. Degrees
-    are counted once by the first query that asks for them.
+    property_types says which properties are int, real or str, so that expressions have types before they run.
+    vertex_at and arcs_at give the rows of one id without a scan of all: (id) and (id, "tail" or "head"). joined names
+    the relationships whose arcs all end in vertices, so that a hop need not look them up.
     """
 
     vertices: DataFrame
@@ -36,6 +38,10 @@ class Graph:
     property_types: dict[str, str] = field(default_factory=dict)
     macros: dict[str, tuple] = field(default_factory=dict)
     now: int = 0
+    definitions: dict[str, str] = field(default_factory=dict)
+    vertex_at: Callable[[str], DataFrame] | None = None
+    arcs_at: Callable[[str, str], DataFrame] | None = None
+    joined: frozenset[str] = frozenset()
 
     def __post_init__(self):
         self.vertices, self.arcs = conform(self.vertices, VERTEX_COLUMNS), conform(self.arcs, ARC_COLUMNS)
@@ -45,8 +51,19 @@ class Graph:
         return self.vertices.sparkSession
 
     def with_(self, **changes) -> Graph:
+        if "vertices" in changes or "arcs" in changes:
+            changes = {"vertex_at": None, "arcs_at": None, "joined": frozenset(), **changes}
         return replace(self, **changes)
 
+    def vertex(self, id: str) -> DataFrame:
+        rows = self.vertices if self.vertex_at is None else conform(self.vertex_at(id), VERTEX_COLUMNS)
+        return rows.filter(F.col("id") == id)
+
+    def arcs_of(self, id: str, end: str) -> DataFrame:
+        """Arcs of which the id is the tail or the head."""
+        rows = self.arcs if self.arcs_at is None else conform(self.arcs_at(id, end), ARC_COLUMNS)
+        return rows.filter(F.col(end) == id)
+
     def define(self, text: str) -> None:
         """Takes `name := expression`, which later expressions can use by its name."""
         from ..functions.syntax import ExpressionError, read
@@ -55,6 +72,29 @@ class Graph:
         if node[0] != "define":
             raise ExpressionError("a definition is `name := expression`")
         self.macros[node[1]] = node[2]
+        self.definitions[node[1]] = text
+
+    def definition(self, name: str) -> str | None:
+        """The text that was given for a name."""
+        return self.definitions.get(name)
+
+    def relationships(self) -> DataFrame:
+        """name, n: relationships and their arcs."""
+        return self.arcs.groupBy(F.col("rel").alias("name")).agg(F.count("*").alias("n"))
+
+    def vertex_types(self) -> DataFrame:
+        """name, n: types and their vertices; null is the type of vertices without one."""
+        return self.vertices.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n"))
+
+    def property_keys(self) -> DataFrame:
+        """name, n: property keys and the vertices that have them."""
+        keys = lambda c: F.coalesce(F.map_keys(F.map_filter(c, lambda k, v: v.isNotNull())), F.array().cast("array<string>"))
+        return self.vertices.select(F.explode(F.concat(keys("num"), keys("text"))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+    def string_values(self) -> DataFrame:
+        """name, n: distinct string values of properties and how often they stand there."""
+        values = F.coalesce(F.map_values("text"), F.array().cast("array<string>"))
+        return self.vertices.select(F.explode(values).alias("name")).filter("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"))
 
     def degrees(self) -> DataFrame:
         """id, ideg, odeg, deg: every member of a multiple arc counts."""

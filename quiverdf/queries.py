@@ -82,10 +82,10 @@ def direction_any(spark, d):
     return query.neighborhood(graph(spark, d, "nation", "region", "customer"), "N4", ("*", "D_ANY")).select("anchor", "id", "dir")
 
 
-@register("multiple_arcs", f"SELECT 'O' || l_orderkey AS anchor, 'P' || l_partkey AS id, mod, val FROM {CONTAINS} WHERE l_orderkey < 50")
+@register("multiple_arcs", f"SELECT 'O' || l_orderkey AS anchor, 'P' || l_partkey AS id, mod, val FROM {CONTAINS}")
 def multiple_arcs(spark, d):
     g = graph(spark, d, "orders", "part", "lineitem")
-    out = query.neighborhood(g, None, ("contains", "D_OUT"), condition={"type": "order", "filter": "int(slice(vertex.id, 1, null)) < 50"})
+    out = query.neighborhood(g, None, ("contains", "D_OUT"), condition={"type": "order"})
     return out.select("anchor", "id", "mod", "val")
 
 
@@ -127,9 +127,10 @@ def degree_condition(spark, d):
     return query.vertices(graph(spark, d, "customer", "orders"), {"type": "customer", "degree": (("placed", "D_OUT", "M_FLT", "V_GT", 100000.0), ("V_GTE", 8))}).select("id")
 
 
-@register("degree_stored", "SELECT 'N' || n_nationkey AS id FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(*) > 60")
+@register("degree_stored", "SELECT 'C' || o_custkey AS id FROM orders GROUP BY o_custkey HAVING count(*) + 1 > 12")
 def degree_stored(spark, d):
-    return query.vertices(graph(spark, d, "nation", "customer"), {"type": "nation", "indegree": ("V_GT", 60)}).select("id")
+    """Customers with more than 12 outgoing arcs: one to their nation, one to each order."""
+    return query.vertices(graph(spark, d, "nation", "customer", "orders"), {"type": "customer", "outdegree": ("V_GT", 12)}).select("id")
 
 
 @register("adjacent_semi", "SELECT 'C' || c_custkey AS id FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 180000)")
@@ -139,10 +140,10 @@ def adjacent_semi(spark, d):
     return query.vertices(g, want).select("id")
 
 
-@register("adjacent_anti", "SELECT 'C' || c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("adjacent_anti", "SELECT 'C' || c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 190000)")
 def adjacent_anti(spark, d):
     g = graph(spark, d, "customer", "orders")
-    return query.vertices(g, {"type": "customer", "adjacent": (False, {"arc": ("placed", "D_OUT")})}).select("id")
+    return query.vertices(g, {"type": "customer", "adjacent": (False, {"arc": ("placed", "D_OUT", "M_FLT", "V_GT", 190000.0)})}).select("id")
 
 
 @register("two_hops", """SELECT 'N' || n_nationkey AS anchor, 'C' || c_custkey AS id FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey = 5
@@ -208,17 +209,27 @@ def aggregate_query(spark, d):
     return out.withColumn("value", F.round("value", 2))
 
 
+#: Mode, SQL, and the shape in which both are compared: products by their logarithm, which no float noise moves.
 AGGREGATES = {
-    "max": "max(val)", "min": "min(val)", "average": "avg(val)", "sum": "sum(val)", "sqsum": "sum(val * val)", "count": "CAST(count(*) AS DOUBLE)", "product": "product(val)",
+    "max": ("max(val)", "{}", 2), "min": ("min(val)", "{}", 2), "average": ("avg(val)", "{} / 1000", 3), "sum": ("sum(val)", "{}", 2), "sqsum": ("sum(val * val)", "{} / 1000", 1),
+    "count": ("CAST(count(*) AS DOUBLE)", "{}", 2), "product": ("product(val)", "ln({})", 6), "first": ("arg_min(val, l_orderkey_text)", "{}", 2),
 }
-for _name, _sql in AGGREGATES.items():
+for _name, (_sql, _shape, _digits) in AGGREGATES.items():
 
-    @register(f"aggregate_{_name}", f"""SELECT 'P' || l_partkey AS id, '{"M_INTAGGR" if _name == "count" else "M_FLTAGGR"}' AS mod, round({_sql}{" / 1e200" if _name == "product" else " / 1000" if _name in ("average", "sqsum") else ""}, {3 if _name == "average" else 2 if _name != "sqsum" else 1}) AS val
-        FROM (SELECT l_partkey, l_orderkey, sum(l_extendedprice) AS val FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL) GROUP BY l_partkey""")
-    def aggregate_mode(spark, d, mode=_name):
+    @register(f"aggregate_{_name}", f"""SELECT 'P' || l_partkey AS id, '{"M_INTAGGR" if _name == "count" else "M_FLTAGGR"}' AS mod, round({_shape.format(_sql)}, {_digits}) AS val
+        FROM (SELECT l_partkey, 'O' || l_orderkey AS l_orderkey_text, sum(l_extendedprice) AS val FROM lineitem GROUP BY ALL) GROUP BY l_partkey""")
+    def aggregate_mode(spark, d, mode=_name, shape=_shape, digits=_digits):
         g = graph(spark, d, "orders", "part", "lineitem")
-        out = query.neighborhood(g, None, ("contains", "D_OUT", "M_FLT"), condition={"type": "order", "filter": "int(slice(vertex.id, 1, null)) < 2000"}, aggregate={"mode": mode})
-        return out.select("id", "mod", F.round(F.col("val") / {"product": 1e200, "average": 1000, "sqsum": 1000}.get(mode, 1), {"average": 3, "sqsum": 1}.get(mode, 2)).alias("val"))
+        out = query.neighborhood(g, None, ("contains", "D_OUT", "M_FLT"), condition={"type": "order"}, aggregate={"mode": mode})
+        return out.select("id", "mod", F.round(F.expr(shape.format("val")), digits).alias("val"))
+
+
+@register("aggregate_product_clamped", """SELECT 'P' || l_partkey AS id, least(product(n), 2147483647.0) AS val FROM (SELECT l_partkey, l_orderkey, count(*) * 7 AS n FROM lineitem GROUP BY ALL) GROUP BY l_partkey""")
+def aggregate_product_clamped(spark, d):
+    """Products of whole numbers stay within 32 bits."""
+    g = graph(spark, d, "orders", "part", "lineitem")
+    g = g.with_(arcs=g.arcs.filter("mod = 'M_CNT'").withColumn("value", F.col("value") * 7))
+    return query.neighborhood(g, None, ("contains", "D_OUT", "M_CNT"), condition={"type": "order"}, aggregate={"mode": "product"}).select("id", "val")
 
 
 @register("aggregate_having", """SELECT 'P' || l_partkey AS id, least(CAST(count(*) AS DOUBLE), 2147483647) AS val FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) GROUP BY l_partkey HAVING count(*) > 35
@@ -254,11 +265,11 @@ def beam(spark, d):
     return out.select("anchor", "id", "val")
 
 
-@register("synthetic_arcs", f"""SELECT 'O' || l_orderkey AS anchor, 'P' || l_partkey AS id, quantity * n AS val FROM {LINES} WHERE l_orderkey < 500 AND quantity * n > 40""")
+@register("synthetic_arcs", f"""SELECT 'O' || l_orderkey AS anchor, 'P' || l_partkey AS id, quantity * n AS val FROM {LINES} WHERE quantity * n > 40""")
 def synthetic_arcs(spark, d):
     g = graph(spark, d, "orders", "part", "lineitem")
     text = "q = synarc.value('contains', M_INT); n = synarc.value('contains', M_CNT); score = q * n; collectif(score > 40, score)"
-    out = query.neighborhood(g, None, ("contains", "D_OUT"), condition={"type": "order", "filter": "int(slice(vertex.id, 1, null)) < 500"}, filter=text, synthetic=True)
+    out = query.neighborhood(g, None, ("contains", "D_OUT"), condition={"type": "order"}, filter=text, synthetic=True)
     return out.select("anchor", "id", "val")
 
 
@@ -467,25 +478,25 @@ def direction_both(spark, d):
     return query.neighborhood(g, None, ("next", "D_BOTH"), condition={"id": "A*"}).select("anchor", "id")
 
 
-WORD_MAP = "(SELECT doc_id, list_distinct(string_split(lower(substr(text, 1, 200)), ' ')) AS ws FROM documents WHERE doc_id < 40)"
+WORD_MAP = "(SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS ws FROM documents WHERE text IS NOT NULL)"
 
 
 @register("feature_similarity", f"""WITH d AS {WORD_MAP}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.ws, b.ws)) AS n, len(a.ws) AS la, len(b.ws) AS lb FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)
     SELECT a, b, CAST(n AS INT) AS shared, round(n / sqrt(la * lb), 6) AS cosine, round(n / (la + lb - n), 6) AS jaccard FROM p""")
 def feature_similarity(spark, d):
-    """Neighboring documents as feature vectors of their first words with weight 1."""
-    words = F.array_distinct(F.split(F.lower(F.substring("text", 1, 200)), " ", -1))
-    docs = table(spark, d, "documents").filter("doc_id < 40").select("doc_id", F.map_from_arrays(words, F.transform(words, lambda w: F.lit(1.0))).alias("v"))
+    """Neighboring documents as feature vectors of their words with weight 1."""
+    words = F.array_distinct(F.split(F.lower("text"), " ", -1))
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.map_from_arrays(words, F.transform(words, lambda w: F.lit(1.0))).alias("v"))
     pairs = docs.select(F.col("doc_id").alias("a"), F.col("v").alias("va")).join(docs.select(F.col("doc_id").alias("b"), F.col("v").alias("vb")), F.col("b") == F.col("a") + 1)
     va, vb = F.col("va"), F.col("vb")
     return pairs.select("a", "b", similarity.intersection(va, vb).alias("shared"), F.round(similarity.feature_cosine(va, vb), 6).alias("cosine"), F.round(similarity.feature_jaccard(va, vb), 6).alias("jaccard"))
 
 
-@register("quantised_kernels", """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x::DOUBLE / (list_max(list_transform(embedding, lambda y: abs(y::DOUBLE))) / 127.0)) AS BIGINT)) AS v FROM embeddings WHERE vec_id < 50)
+@register("quantised_kernels", """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x::DOUBLE / (list_max(list_transform(embedding, lambda y: abs(y::DOUBLE))) / 127.0)) AS BIGINT)) AS v FROM embeddings)
     SELECT a.vec_id AS a, CAST(list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[]) AS BIGINT) AS dp, CAST(list_dot_product(a.v::DOUBLE[], a.v::DOUBLE[]) AS BIGINT) AS ssq, round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 6) AS cos,
     round(list_distance(a.v::DOUBLE[], b.v::DOUBLE[]), 4) AS ecld FROM q a JOIN q b ON b.vec_id = a.vec_id + 1""")
 def quantised_kernels(spark, d):
-    rows = table(spark, d, "embeddings").filter("vec_id < 50").select("vec_id", similarity.quantised(F.col("embedding")).alias("v"))
+    rows = table(spark, d, "embeddings").select("vec_id", similarity.quantised(F.col("embedding")).alias("v"))
     pairs = rows.select(F.col("vec_id").alias("a"), F.col("v").alias("va")).join(rows.select(F.col("vec_id").alias("b"), F.col("v").alias("vb")), F.col("b") == F.col("a") + 1)
     va, vb = F.col("va"), F.col("vb")
     return pairs.select(
@@ -536,3 +547,6 @@ def arc_value_query(spark, d):
     g = graph(spark, d, "customer", "orders")
     owner = g.arcs.filter("rel = 'placed' AND head = 'O5'").first()["tail"]
     return query.arc_value(g, owner, ("placed", "D_OUT", "M_FLT"), "O5")
+
+
+from . import token_queries  # noqa: E402, F401  (registers more)

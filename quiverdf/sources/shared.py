@@ -9,8 +9,16 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one where that is unset, as in tests; it goes with the JVM."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quiverdf-")
+    """A new folder under spark.checkpoint.dir; it goes with the JVM.
+
+    Where that is unset, a temporary folder stands in if Spark runs in one local process, as in tests; on a cluster it
+    is an error, since its machines would not share one.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quiverdf-")
     out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
