@@ -113,11 +113,11 @@ def applied(graph: Graph, ops: DataFrame) -> Graph:
     graph = mutate.remove_property(graph, cleared)
     values = last(which("vps", "vpd").select("trans", "serial", "id", arg(1).alias("key"), F.when(F.col("op") == "vps", arg(2)).alias("value")), "id", "key")
     graph = with_properties(graph, after(values, cleared, "id"))
-    set_last = lambda g, column, name, value: mutate.set_column(g, column, last(which(name).select("trans", "serial", "id", value.alias("value")), "id"))
-    graph = set_last(graph, "type", "vxt", arg(1))
-    graph = set_last(graph, "tmx", "vxx", arg(1).try_cast("long"))
-    graph = set_last(graph, "virtual", "vxc", arg(1) == "1")
-    graph = set_last(set_last(graph, "c1", "vxr", arg(1).try_cast("double")), "c0", "vxr", arg(2).try_cast("double"))
+    # Single values, each by its last operation, in one join.
+    single = {"type": ("vxt", arg(1)), "tmx": ("vxx", arg(1).try_cast("long")), "virtual": ("vxc", arg(1) == "1"), "c1": ("vxr", arg(1).try_cast("double")), "c0": ("vxr", arg(2).try_cast("double"))}
+    new = which(*{name for name, _ in single.values()}).groupBy("id").agg(*[F.max_by(F.when(F.col("op") == name, v), F.when(F.col("op") == name, at())).alias(f"__{c}") for c, (name, v) in single.items()])
+    set_ = graph.vertices.join(new, "id", "left")
+    graph = graph.with_(vertices=set_.withColumns({c: F.coalesce(f"__{c}", c) for c in single}).drop(*[f"__{c}" for c in single]))
     vectors = last(which("vvs", "vvd").select("trans", "serial", "id", "op", F.transform(F.split(arg(1), ","), lambda x: x.try_cast("double")).alias("value")), "id")
     graph = mutate.remove_vector(graph, vectors.filter("op = 'vvd'"))
     graph = mutate.set_column(graph, "vector", vectors.filter("op = 'vvs'"))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .functions.columns import Scope, compile_expression
 from .functions.program import evaluate
 from .plans import mutate, query
+from .plans.graph import Graph
 from .queries import LINES, graph, register
+from .sources.shared import folder
 from .sources.tables import NOW, table
+from .streaming import oplog
 
 ROWS = "(SELECT n_nationkey AS k FROM nation)"
 DIGITS = 6
@@ -430,3 +433,26 @@ def vertex_changes(spark, d):
     rows = g.vertices
     return rows.select("id", F.element_at("num", "more").alias("more"), F.map_contains_key("num", "lat").cast("long").alias("kept"), "c1", "tmx")
 
+
+@register("oplog_operations", """SELECT 'N' || n_nationkey AS id, CASE WHEN n_nationkey % 2 = 1 THEN n_nationkey * 2.0 END AS twice, CAST(CASE WHEN n_nationkey % 2 = 1 AND n_nationkey % 3 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS arcs
+    FROM nation WHERE n_nationkey % 2 = 1 OR n_nationkey % 4 = 0""")
+def oplog_operations(spark, d):
+    """Nations made, given a property and an arc; even ones deleted, every fourth made again, arcs of every third deleted."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").alias("r"))
+    name = F.concat(F.lit("N"), F.col("k"))
+    op = lambda t, code, rows, *args: rows.select(F.lit(t).cast("long").alias("trans"), F.col("k").alias("serial"), F.lit(code).alias("op"), F.array(*[a.cast("string") for a in args]).alias("args"))
+    steps = [
+        op(1, "vxn", n, name, F.lit("nation")), op(2, "vps", n, name, F.lit("twice"), F.col("k") * 2), op(3, "arc", n, name, F.lit("in"), F.lit("M_INT"), F.lit(1), F.concat(F.lit("R"), F.col("r"))), op(4, "vxd", n.filter("k % 2 = 0"), name),
+        op(5, "vxn", n.filter("k % 4 = 0"), name, F.lit("nation")), op(6, "vod", n.filter("k % 3 = 0"), name),
+    ]
+    ops = steps[0]
+    for s in steps[1:]:
+        ops = ops.unionByName(s)
+    where = folder(spark, "operations")
+    ops.write.parquet(f"{where}/ops")
+    ops = spark.read.schema(ops.schema).parquet(f"{where}/ops")
+    none = Graph(spark.createDataFrame([], "id string, type string"), spark.createDataFrame([], "tail string, rel string, mod string, value double, head string"))
+    g = oplog.applied(none, ops)
+    counts = g.arcs.groupBy("tail").agg(F.count("*").alias("arcs")).withColumnRenamed("tail", "id")
+    rows = g.vertices.filter("id LIKE 'N%'").join(counts, "id", "left")
+    return rows.select("id", F.try_element_at("num", F.lit("twice")).alias("twice"), F.coalesce("arcs", F.lit(0).cast("long")).alias("arcs"))
