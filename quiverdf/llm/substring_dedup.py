@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, by_value, extended, partitions
+from .common import Workspace, bounded_batches, by_value, extended, numbered, partitions
 
 by_value(__name__)
 
@@ -340,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lanes = partitions(spark)
     buckets = lanes * BUCKETS_PER_PARTITION
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
-    source = work.keep(docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), body.alias("body")), "texts")
+    source = numbered(docs).select(F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row"), body.alias("body"))
     null_id = -(1 << 63)
     ordered_id = F.coalesce("id", F.lit(null_id)).alias("doc")  # the smallest long stands for null, too
 
