@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
 from pyspark.sql.types import LongType
 
 from ..functions.columns import cosine
@@ -49,7 +48,7 @@ def fingerprint(vector: Column) -> Column:
     def of(vectors: pd.Series) -> pd.Series:
         return pd.Series(fingerprint_longs(vectors), dtype="Int64")
 
-    return F.pandas_udf(of, LongType(), PandasUDFType.SCALAR)(vector.cast("array<double>"))
+    return F.pandas_udf(of, LongType())(vector.cast("array<double>"))
 
 
 def hamming(a: Column, b: Column) -> Column:
