@@ -133,7 +133,9 @@ class VertexCondition:
     negated: bool = False
     #: Whether nothing in it looks back at the path, so that it can be decided for each vertex once.
     local: bool = True
+    #: trivial asks nothing; bare asks nothing of the vertex itself, only of what it is linked to.
     trivial: bool = False
+    bare: bool = False
 
 
 LOOKS_BACK = re.compile(r"\b(prev|next|synarc|arc)\b|\.arc\b")
@@ -177,6 +179,7 @@ def vertex_condition(spec, at: str, scope: Scope, now: int = 0) -> VertexConditi
     adjacent = {k[4:]: spec.pop(k) for k in ("has_arc", "has_neighbor") if k in spec}
     if adjacent:
         spec["adjacent"] = {**(spec.get("adjacent") or {}), **adjacent}
+    out.bare = set(spec) <= {"adjacent", "traverse"}
     for key, want in spec.items():
         if key == "virtual":
             hit = c("virtual") == F.lit(bool(want))

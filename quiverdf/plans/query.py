@@ -106,7 +106,11 @@ class Planner:
         """__id: vertices with an arc that passes to a vertex that passes; an id may come several times."""
         arcs = oriented(self.graph.arcs, hop.arc.dir).filter(hop.arc.column("arc")).select("src", "dst")
         condition = vertex_condition(hop.neighbor, "next", self.scope(vertex="next"), self.graph.now)
-        if not (condition.trivial and hop.arc.rel in self.graph.joined and not hop.arc.negated):
+        ends_known = hop.arc.rel in self.graph.joined and not hop.arc.negated
+        if condition.bare and not condition.negated and ends_known:
+            for inner in condition.hops:
+                arcs = arcs.join(self.holders(inner), F.col("dst") == F.col("__id"), "left_anti" if inner.negated else "left_semi")
+        elif not (condition.trivial and ends_known):
             arcs = arcs.join(self.matching(condition), F.col("dst") == F.col("__id"), "left_semi")
         return arcs.select(F.col("src").alias("__id"))
 
