@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
@@ -39,6 +40,14 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system, since Python workers live on for other tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own house
+
+
 def extended(batch: pa.RecordBatch, keep: list[str], **columns: pa.Array) -> pa.RecordBatch:
     """Columns of an Arrow batch as they are, so that no id passes through Python numbers, and new ones behind them."""
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns.values()], names=[*keep, *columns])

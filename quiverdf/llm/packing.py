@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, by_value
+from .common import Workspace, bounded_batches, by_value, trim
 
 by_value(__name__)
 
@@ -255,6 +255,8 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
             if rows:
                 yield piece_batch(rows)
         yield piece_batch(packer.settle(), packer.docs, partition)
+        del words, packer
+        trim()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer((1 << 62) + (TaskContext.get().partitionId() << 40), longest)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, by_value, components, extended
+from .common import Workspace, bounded_batches, by_value, components, extended, trim
 
 by_value(__name__)
 
@@ -29,6 +29,8 @@ ROWS = 8
 BANDS = 50
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BLOCK = 4096
+#: Shingles whose hashes are taken at once, so that tables of them stay in the cache.
+HASHED = 256
 
 
 def digests(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -65,8 +67,8 @@ def signature(grams: np.ndarray, seed: int = SEED) -> np.ndarray:
     factor = r.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = r.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2)
     least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(grams), BLOCK):
-        least = np.minimum(least, (grams[None, at : at + BLOCK] * factor[:, None] + shift[:, None]).min(1))
+    for at in range(0, len(grams), HASHED):
+        least = np.minimum(least, (grams[None, at : at + HASHED] * factor[:, None] + shift[:, None]).min(1))
     return least
 
 
@@ -90,6 +92,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
                 keys.append(np.array(bands, np.uint64).view(np.int64))
             fp = pa.array(np.array(fps, np.uint64).view(np.int64))
             yield extended(batch, ["id"], fp=fp, whole=pa.array(whole, pa.string()), sig=pa.array(sigs, pa.list_(pa.int32())), keys=pa.array(keys, pa.list_(pa.int64())))
+        trim()
 
     return bodies(docs, id_col, text_col).mapInArrow(run, "id long, fp long, whole string, sig array<int>, keys array<long>")
 

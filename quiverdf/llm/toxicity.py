@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_value, extended
+from .common import bounded_batches, by_value, extended, trim
 
 by_value(__name__)
 
@@ -32,7 +32,7 @@ UPDATES, BATCH, RATE, DROPOUT, PRIOR = 250, 32, 0.03, 0.2, 5
 #: Embeddings learn slower than the rest, so that few documents are not learned by heart; all weights decay.
 SLOW, DECAY = 0.05, 0.01
 SEED = 5
-CHUNK = 4096
+CHUNK = 1024
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -331,6 +331,8 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
         scorer = Scorer(network)
         for batch in batches:
             yield extended(batch, ["id"], score=pa.array(scorer.score(batch.column("text").to_pylist())))
+        del scorer
+        trim()
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
     return out.withColumnRenamed("id", id_col)
@@ -349,5 +351,7 @@ def keep_clean(docs: DataFrame, network: Network, text_col: str = "text", thresh
         for batch in batches:
             found = scorer.score(batch.column(text_col).to_pylist())
             yield batch.filter(pa.array(found < threshold))
+        del scorer
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
