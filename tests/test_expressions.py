@@ -91,3 +91,22 @@ def test_strings(spark):
     x = lambda t: spark.range(1).select(compile_expression(t, Scope()).col.cast("string")).first()[0]
     assert x("slice('hello', 1, 3)") == "el" and x("join('-', 'a', 'b')") == "a-b" and x("replace('aXa', 'X', 'b')") == "aba"
     assert x("isnan('s')") == "1" and x("strlen('é')") == "2" and x("len('é')") == "1"
+
+
+def test_evaluate_and_definitions(spark):
+    from quiverdf.plans import query
+    from quiverdf.plans.graph import Graph
+
+    g = Graph(spark.createDataFrame([("a", [1.0, 2.0])], "id string, vector array<double>"), spark.createDataFrame([], "tail string, head string"))
+    memory = [1, 2]
+    assert query.evaluate(g, "store(1, load(0) + 4); load(1)", memory=memory).first()["y"] == 5 and memory == [1, 5]
+    assert query.evaluate(g, "len(vertex.vector) + next.arc.value", tail="a", arc=("r", "D_OUT", "M_INT", 3)).first()["y"] == 5.0
+    g.define("twice := 2 * 21")
+    assert g.definition("twice") == "twice := 2 * 21" and g.definition("thrice") is None
+    assert query.evaluate(g, "twice").first()["y"] == 42
+
+
+def test_what_has_no_counterpart_raises():
+    for text in ("next.refc", "next.op", "prev.bidx", "vertex.oidx"):
+        with pytest.raises(ExpressionError):
+            compile_expression(text, Scope(next="next", prev="prev"))
