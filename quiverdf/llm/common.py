@@ -26,11 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's limits of Arrow batches to 1000 rows and, where Spark knows the setting, 32 MB.
+    """Lowers the session's limits of Arrow batches to 1000 rows and, where Spark knows the setting, 8 MB.
 
     They stay lowered, because results are lazy and read them when they run; a limit that is lower already stays.
     """

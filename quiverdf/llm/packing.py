@@ -83,24 +83,13 @@ class WordTokenizer(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.keep:
             self.clear()
-        if word.isascii():
-            # Capitals and one mark at the end leave the ids of what is left as they are.
-            low = word.lower()
-            if low != word:
-                out = self[low]
-                if len(word) <= CACHE_LENGTH:
-                    self[word] = out
-                return out
-            if len(word) > 1 and word[-1] in ".,!?;:" and word[:-1].isalpha():
-                out = self[word[:-1]] + self[word[-1]]
-                if len(word) <= CACHE_LENGTH:
-                    self[word] = out
-                return out
-        m = self.PLAIN.fullmatch(word)
-        if m:
-            parts = [p.lower() for p in m.groups() if p]
-            if not word.isascii():  # ASCII letters and punctuation stand for themselves
-                parts = ["".join([self.letters[b] for b in p.encode()]) for p in parts]
+        if word.isascii() and (stem := word.rstrip(".,!?;:")).isalpha():
+            # ASCII letters and punctuation stand for themselves.
+            ids = [t.id for t in self.model.tokenize(stem.lower())]
+            if len(stem) < len(word):
+                ids += [t.id for t in self.model.tokenize(word[len(stem) :])]
+        elif m := self.PLAIN.fullmatch(word):
+            parts = ["".join([self.letters[b] for b in p.lower().encode()]) for p in m.groups() if p]
             ids = [t.id for p in parts for t in self.model.tokenize(p)]
         else:
             ids = self.plain.encode(word, add_special_tokens=False).ids
