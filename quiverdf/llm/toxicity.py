@@ -32,7 +32,7 @@ UPDATES, BATCH, RATE, DROPOUT, PRIOR = 250, 32, 0.03, 0.2, 5
 #: Embeddings learn slower than the rest, so that few documents are not learned by heart; all weights decay.
 SLOW, DECAY = 0.05, 0.01
 SEED = 5
-CHUNK = 1024
+CHUNK, TOGETHER = 1024, 250
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -209,6 +209,10 @@ class Scorer:
         return docs, [normal(w) for w in known] or [""]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
+        """Scores of all texts, some at a time, since their distinct words are what takes memory."""
+        return np.concatenate([np.zeros(0), *(self.some(texts[k : k + TOGETHER]) for k in range(0, len(texts), TOGETHER))])
+
+    def some(self, texts: list[str | None]) -> np.ndarray:
         docs, words = self.number(texts)
         owner, _, logit = self.window_logits(docs, self.network.inputs(words))
         worst = np.full(len(texts), -np.inf, np.float32)
