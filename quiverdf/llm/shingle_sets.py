@@ -2,16 +2,21 @@
 
 Candidates are pairs that fingerprints propose and pairs that share a MinHash band. A pair at similarity s shares a band
 of `ROWS` hashes with probability s**ROWS; of `BANDS` bands a pair at 0.8 misses all with probability 1e-4, and a pair
-at 0.4 meets in one with probability 0.03. Each candidate pair is checked on its whole shingle sets, in three rounds, of
+at 0.4 meets in one with probability 0.03. Each candidate pair is checked on its whole shingle sets, in four rounds, of
 which each sees only what the rounds before left in different components: every text with the smallest one that it
-shares a bucket with; the members of every bucket with its smallest, and the pairs that fingerprints propose; and the
-members of a bucket outside its largest component with all others. So a large group of near copies costs a star and not
-its pairs.
+shares a bucket with; the members of every bucket with its smallest, and the pairs that fingerprints propose; the members
+of a bucket with its pivot, the one with the least share of shingles that no other text has; and the members of a bucket
+outside its largest component with all others. So a large group of near copies costs stars and not its pairs.
+
+Before the last round, members that can't have a partner leave their bucket, by bounds that lose no pair. Shingles that
+only one of the texts has (lone ones) are in no intersection. And two sets differ exactly where their differences from
+a third differ: with p the pivot without its lone shingles and v(x) = |x ^ p|, of which lone(x) are lone, |x ^ y| >= v(x) +
+v(y) - 2 min(v(x) - lone(x), v(y) - lone(y)), while a pair at similarity s has |x ^ y| <= (|x| + |y|) (1 - s) / (1 + s).
+Most copies with edits of their own fail that with each other.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,28 +78,27 @@ def signature(grams: np.ndarray, seed: int = SEED) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """id, fp (the fingerprint), whole (a 128-bit hash of the shingle set), sig (32 bits of each least hash), keys (one for each band)."""
+    """id, fp (the fingerprint), whole (a 128-bit hash of the shingle set), keys (one for each band of least hashes)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            fps, whole, sigs, keys = [], [], [], []
+            fps, whole, keys = [], [], []
             for body in batch.column("body").to_pylist():
                 each = digests(body, words)
                 grams = np.unique(each)
                 fps.append(majority(each))
                 whole.append(xxhash.xxh3_128_hexdigest(grams.tobytes()))
                 sig = signature(grams) if len(grams) else grams
-                sigs.append((sig >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 bands = [xxhash.xxh64_intdigest(sig[k : k + ROWS].tobytes(), k) for k in range(0, len(sig), ROWS)]
                 keys.append(np.array(bands, np.uint64).view(np.int64))
             fp = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield extended(batch, ["id"], fp=fp, whole=pa.array(whole, pa.string()), sig=pa.array(sigs, pa.list_(pa.int32())), keys=pa.array(keys, pa.list_(pa.int64())))
+            yield extended(batch, ["id"], fp=fp, whole=pa.array(whole, pa.string()), keys=pa.array(keys, pa.list_(pa.int64())))
         trim()
 
-    return bodies(docs, id_col, text_col).mapInArrow(run, "id long, fp long, whole string, sig array<int>, keys array<long>")
+    return bodies(docs, id_col, text_col).mapInArrow(run, "id long, fp long, whole string, keys array<long>")
 
 
 def sets(bodies: DataFrame, words: int = WORDS) -> DataFrame:
@@ -115,11 +119,47 @@ def bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("body"))
 
 
-def verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets have at least the similarity."""
+def compared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """Pairs (a, b) with shared, the number of shingles in both sets, and similarity."""
     both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
-    return both.filter(shared / (F.size("ga") + F.size("gb") - shared) >= similarity).select("a", "b")
+    return both.select("a", "b", shared.alias("shared"), (shared / (F.size("ga") + F.size("gb") - shared)).alias("similarity"))
+
+
+def verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose shingle sets have at least the similarity."""
+    return compared(pairs, grams).filter(F.col("similarity") >= similarity).select("a", "b")
+
+
+def weighed(nodes: DataFrame, grams: DataFrame) -> DataFrame:
+    """node, n (its shingles), lone (those that no other of the nodes has)."""
+    own = grams.join(nodes, "node", "left_semi")
+    holders = own.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    lone = holders.filter("n = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    return own.select("node", F.size("grams").alias("n")).join(lone, "node", "left").select("node", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
+def possible(placed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components, but for those that bounds rule out.
+
+    placed: key, node, label, main (the bucket's largest component), n, lone, v (shingles in which it differs from the
+    bucket's pivot without lone ones); pivots are not among them.
+    """
+    # Pairs at the similarity differ in at most this share of both sizes; the slack is for rounding.
+    most, slack = (1 - similarity) / (1 + similarity), 1e-6
+    # far(x) + close(y) <= 0 and close(x) + far(y) <= 0 for any pair at the similarity.
+    placed = placed.withColumns({"far": F.col("v") - most * F.col("n"), "close": 2 * F.col("lone") - F.col("v") - most * F.col("n")})
+    outside = F.col("label") != F.col("main")
+    least = placed.groupBy("key").agg(*[F.min(F.when(outside, F.col(c))).alias(f"out_{c}") for c in ("far", "close")], *[F.min(c).alias(f"any_{c}") for c in ("far", "close")])
+    meets = lambda of: (F.col("close") + F.col(f"{of}_far") <= slack) & (F.col("far") + F.col(f"{of}_close") <= slack)
+    placed = placed.join(least, "key").filter(F.when(outside, meets("any")).otherwise(meets("out")))
+    side = lambda s, rows: rows.select("key", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "lone", "far", "close")])
+    once = (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
+    sizes = F.col("n_a") + F.col("n_b")
+    fits = (F.col("close_a") + F.col("far_b") <= slack) & (F.col("far_a") + F.col("close_b") <= slack)
+    fits = fits & (similarity * sizes <= (1 + similarity) * F.least(F.col("n_a") - F.col("lone_a"), F.col("n_b") - F.col("lone_b")) + slack)
+    both = side("a", placed.filter(outside)).join(side("b", placed).drop("main"), "key").filter((F.col("label_a") != F.col("label_b")) & once & fits)
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float, words: int, propose: Callable[[DataFrame], DataFrame], work: Workspace) -> DataFrame:
@@ -130,11 +170,11 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, similarity: floa
     Null and empty texts have equal sets. Rows with a null id take part with the smallest other id of their shingle set,
     or null where there is none. Repeated rows give repeated rows. An empty table gives an empty result.
     """
-    rows = work.keep(sketches(docs, id_col, text_col, words), "sketches")
-    nodes = work.keep(rows.filter("id IS NOT NULL").groupBy("whole").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "sets")
-    # An id with several texts stands for several sets, so nodes are numbered apart from ids.
-    nodes = work.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bands = nodes.select("node", F.explode("keys").alias("key"))
+    rows = work.keep(sketches(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    # An id with several texts stands for several sets, so nodes are rows, one for each set, and not ids.
+    first = rows.filter("id IS NOT NULL").groupBy("whole").agg(F.min(F.struct("id", "row", "fp")).alias("x"))
+    nodes = work.keep(first.select("whole", "x.id", F.col("x.row").alias("node"), "x.fp"), "nodes")
+    bands = rows.select(F.col("row").alias("node"), "keys").join(nodes.select("node"), "node", "left_semi").select("node", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1").select("key", "low")
     members = work.keep(bands.join(shared, "key"), "members")
     heads = nodes.groupBy("fp").agg(F.min("node").alias("node"))
@@ -160,22 +200,33 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, similarity: floa
     found = work.keep(found.union(more), "links2")
     label = components(found, work)
 
-    placed = work.keep(labelled_by(label, members.select("key", "node"), "node").withColumnRenamed("label_node", "label"), "placed")
-    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).getField("label").alias("main")).filter("labels > 1").select("key", "main")
-    apart = placed.join(main, "key").join(nodes.select("node", "sig"), "node")
-    side = lambda s, rows: rows.select("key", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "sig")])
-    # A pair at the similarity agrees in fewer hashes than this with probability under 1e-10.
-    n = ROWS * BANDS
-    least = int(n * similarity - 7 * math.sqrt(n * similarity * (1 - similarity)))
-    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
-    once = (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
-    pairs = side("a", apart.filter("label <> main")).join(side("b", apart).drop("main"), "key").filter((F.col("label_a") != F.col("label_b")) & once & (agree >= least))
-    pairs = work.keep(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+    def apart(rows: DataFrame) -> DataFrame:
+        """key, node, label, main (the largest component of the bucket) for buckets in which components are left apart."""
+        placed = work.keep(labelled_by(label, rows.select("key", "node"), "node").withColumnRenamed("label_node", "label"), "placed")
+        sizes = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).getField("label").alias("main")).filter("labels > 1")
+        return placed.join(main.select("key", "main"), "key")
+
+    placed = work.keep(apart(members), "apart")
+    work.drop("placed")
+    weights = work.keep(weighed(placed.select("node").distinct(), grams), "weights")
+    # A partner has this share of a set's shingles at least.
+    able = work.keep(placed.select("key", "node").join(weights, "node").filter(F.col("n") - F.col("lone") >= similarity * F.col("n") - 1e-6), "able")
+    pivots = work.keep(able.groupBy("key").agg(F.min(F.struct((F.col("lone") / F.col("n")).alias("share"), "node", (F.col("n") - F.col("lone")).alias("n"))).alias("x")).select("key", F.col("x.node").alias("pivot"), F.col("x.n").alias("n_pivot")), "pivots")
+    beside = able.join(pivots, "key").filter("node <> pivot")
+    star = beside.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    star = work.keep(compared(work.keep(star, "star"), grams), "compared")
+    found = work.keep(found.union(star.filter(F.col("similarity") >= similarity).select("a", "b")), "links3")
+    label = components(found, work)
+
+    placed = apart(able).join(beside.select("key", "node", "n", "lone", "pivot", "n_pivot"), ["key", "node"])
+    placed = placed.join(star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "shared"), ["pivot", "node"])
+    placed = work.keep(placed.withColumn("v", F.col("n") + F.col("n_pivot") - 2 * F.col("shared")), "beside")
+    pairs = work.keep(possible(placed, similarity), "pairs")
     last = work.keep(verified(pairs, grams, similarity), "last")
-    work.drop("grams", "members", "placed")
+    work.drop("grams", "members", "placed", "apart", "able", "beside")
 
-    label = components(work.keep(found.union(last), "links3"), work)
+    label = components(work.keep(found.union(last), "links4"), work)
     labelled = nodes.join(label, "node", "left").select("whole", "id", F.coalesce("label", "node").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     named = work.keep(labelled.join(smallest, "label").select("whole", "component_id"), "named")

@@ -1,8 +1,10 @@
 """Near copies by shingle similarity, as operator and as the pipeline's stage."""
 
 import random
+from pathlib import Path
 
 from quiverdf.llm import shingle_sets, simhash_dedup
+from quiverdf.llm.common import Workspace
 
 from .data import frame, rows, words
 from .test_dedup import components
@@ -66,3 +68,45 @@ def test_near_stage_drops_planted_copies(spark):
     data = [(k, t, "en", "s", len(t)) + ("clash",) * 11 for k, t in texts.items()]
     left = {r["doc_id"] for r in corpus_pipeline.distinct_near(spark, frame(spark, data=data), "").collect()}
     assert left == set(wanted(texts).values())
+
+
+def spied(monkeypatch, tell):
+    keep = Workspace.keep
+
+    def told(self, df, name):
+        out = keep(self, df, name)
+        tell(name, out, self.paths[name])
+        return out
+
+    monkeypatch.setattr(Workspace, "keep", told)
+
+
+def test_copies_with_edits_of_their_own_are_not_paired(spark, monkeypatch):
+    """A group of which many are too far from all others: bounds leave few pairs of it for the last round."""
+    r = random.Random(11)
+    base = words(r, 150, 5000).split()
+    texts = {}
+    for k in range(400):
+        copy = list(base)
+        for at in r.sample(range(150), r.choice((1, 2, 3, 3, 4, 4, 4))):
+            copy[at] = f"e{k}x{at}"
+        texts[k] = " ".join(copy)
+    twin = texts[399].split()
+    twin[75] = "twin"
+    texts[400] = " ".join(twin)
+    pairs = []
+    spied(monkeypatch, lambda name, out, _: pairs.append(out.count()) if name == "pairs" else None)
+    data = [(k, t, None, None, None) + ("clash",) * 11 for k, t in texts.items()]
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_groups(frame(spark, data=data), words=5, similarity=0.8).collect()}
+    want = wanted(texts)
+    assert got == want and len(set(want.values())) > 50
+    assert len(pairs) == 1 and pairs[0] <= 10 * len(texts)
+
+
+def test_tables_are_small_beside_the_texts(spark, monkeypatch):
+    r = random.Random(12)
+    data = [(k, words(r, 300, 5000), None, None, None) + ("clash",) * 11 for k in range(2000)]
+    kept = []
+    spied(monkeypatch, lambda name, out, path: kept.append(sum(f.stat().st_size for f in Path(path.removeprefix("file://")).iterdir())))
+    assert simhash_dedup.near_groups(frame(spark, data=data), words=5, similarity=0.8).count() == 2000
+    assert sum(kept) < 0.6 * sum(len(x[1]) for x in data)
