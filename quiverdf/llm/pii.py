@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,11 @@ SUPPORT, CONFIDENCE, ACCEPT = 5, 0.7, 0.7
 START = "^"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = str.maketrans(UPPER, LOWER)
-SPACES = " \t\n\v\f\r"
 #: A second word that is glued to an instance ends with one of these.
-GLUE = r"""^(.*["'<>=,;:(\[])[^"'<>=,;:(\[]"""
+GLUE = re.compile(r"""(.*["'<>=,;:(\[])[^"'<>=,;:(\[]""")
+GLUED = re.compile(r"""["'<>=,;:(\[]""")
+#: Bits of the filter of patterns at most, and in one row of it (as Spark's bitmaps have); pairs that a task counts at once.
+FILTER_BITS, CHUNK_BITS, COUNTED = 1 << 25, 1 << 15, 100_000
 
 # The base patterns. The look-behind of `ip` only keeps long digit runs linear.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -150,20 +153,66 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text")).mapInArrow(run, SCAN)
 
 
+def positions(patterns: list[str], bits: int) -> np.ndarray:
+    """The bit of a filter of so many bits that stands for each pattern."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(p) for p in patterns), np.uint64, len(patterns)) % np.uint64(bits)
+
+
+def marked(patterns: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter with the bits of all patterns, and its size; the driver sees `FILTER_BITS` bits at most, whatever their number."""
+    bits = min(FILTER_BITS, max(CHUNK_BITS, 16 << int(patterns.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = positions(batch.column("pattern").to_pylist(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], names=["at"])
+
+    at = patterns.select("pattern").mapInArrow(run, "at long")
+    chunks = at.groupBy(F.floor(F.col("at") / CHUNK_BITS).alias("chunk")).agg(F.bitmap_construct_agg(F.col("at") % CHUNK_BITS).alias("bits"))
+    filled = np.zeros((bits // CHUNK_BITS, CHUNK_BITS // 8), np.uint8)
+    for x in chunks.collect():
+        filled[x["chunk"]] = np.frombuffer(x["bits"], np.uint8)
+    return filled.ravel(), bits
+
+
+def neighbors(text: str) -> list[str]:
+    """Each two neighboring words of a text, and each two of which the second ends where something may be glued to it."""
+    words = [START, START, *text.translate(FOLD).split()]
+    out = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    if GLUED.search(text):
+        out += [f"{a} {m[1]}" for a, b in zip(words, words[1:], strict=False) if (m := GLUE.match(b))]
+    return out
+
+
 def corpus_counts(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
     """pattern, total: occurrences of each pattern's two words in all texts, whatever follows them.
 
-    All pairs of neighboring words are joined with the patterns before they are counted; Spark picks the kind of join
-    by the patterns' size.
+    Words are those of `context`. Each task counts what a filter of the patterns lets pass before anything is joined, so
+    the join sees a pattern once a task (again after every `COUNTED` others) and not once an occurrence; it drops
+    what has passed without being a pattern.
     """
-    folded = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER + SPACES, LOWER + " " * len(SPACES))
-    words = F.concat(F.array(F.lit(START), F.lit(START)), F.filter(F.split(folded, " "), lambda w: w != ""))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    each = docs.select(F.explode(pairs).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    glued = F.regexp_extract("b", GLUE, 1)
-    ends = F.when(F.col("b").rlike(GLUE), F.array(F.col("b"), glued)).otherwise(F.array("b"))
-    told = each.select("a", F.explode(ends).alias("b")).select(F.concat_ws(" ", "a", "b").alias("pattern"))
-    return told.join(patterns.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+    bounded_batches(docs.sparkSession)
+    filled, bits = marked(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "times"])
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                pairs = neighbors(text)
+                at = positions(pairs, bits)
+                hits = (filled[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+                counts.update([pairs[k] for k in np.flatnonzero(hits).tolist()])
+                if len(counts) > COUNTED:
+                    yield table()
+                    counts.clear()
+        yield table()
+
+    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "pattern string, times long")
+    return counted.join(patterns.select("pattern"), "pattern").groupBy("pattern").agg(F.sum("times").alias("total"))
 
 
 def confident_patterns(seen: DataFrame, totals: DataFrame, work: Workspace) -> DataFrame:
